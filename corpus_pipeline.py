@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm import bpe, language, mixing
+from vicinal.llm import bpe, language, mixing, order_minhash
 from vicinal.llm.queries import TOKENIZER
 from vicinal.llm.shared import held_out, materialize, table
 
@@ -23,6 +23,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.reject(docs, language.fit(docs.where(~held_out(F.col("doc_id")))))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the least id stays."""
+    return order_minhash.without_near_copies(docs.select(*COLUMNS))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights; documents are repeated or left out whole."""
     return mixing.mixed_documents(docs.select(*COLUMNS))
@@ -35,6 +40,7 @@ def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("language", identify_language),
+    ("near_copies", drop_near_copies),
     ("mix", mix_sources),
     ("tokens", encode_bytes),
 ]

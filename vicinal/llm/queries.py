@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, sharding
+from . import bpe, fingerprint, language, mixing, order_minhash, sharding, vafile
 from .shared import held_out, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -56,13 +56,38 @@ from summed
 """
 
 
+def op4_va_file_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+OP4_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+select query_id, rank::integer as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+where rank <= 5
+"""
+
+
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op9_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_kd_shards, op2_language_mixture, op3_mix_sources, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_kd_shards, op2_language_mixture, op3_mix_sources, op4_va_file_top5, op5_order_minhash, op9_one_permutation, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL}
+    return {"op3_mix_sources": OP3_SQL, "op4_va_file_top5": OP4_SQL}

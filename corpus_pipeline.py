@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm import bpe, language, mixing, order_minhash
+from vicinal.llm import bpe, language, mixing, order_minhash, pii_crf
 from vicinal.llm.queries import TOKENIZER
 from vicinal.llm.shared import held_out, materialize, table
 
@@ -28,6 +28,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return order_minhash.without_near_copies(docs.select(*COLUMNS))
 
 
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data in texts give way to the names of their kinds; no document goes."""
+    return pii_crf.redact(docs.select(*COLUMNS))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights; documents are repeated or left out whole."""
     return mixing.mixed_documents(docs.select(*COLUMNS))
@@ -41,6 +46,7 @@ def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("language", identify_language),
     ("near_copies", drop_near_copies),
+    ("personal_data", mask_personal_data),
     ("mix", mix_sources),
     ("tokens", encode_bytes),
 ]

@@ -1,0 +1,426 @@
+"""Personal data: base patterns, and a linear-chain conditional random field that adds to them.
+
+Base spans come from four patterns and their tests (address parts, Luhn, numbers of digits); each
+pattern is searched leftmost and without overlap, in time linear in the text.
+
+The field labels tokens (runs of letters and digits, single signs) with begin, inside and outside
+of a kind from features of their shapes and a few cue words around them. It is trained on the
+small table LABELLED, by gradient ascent on the penalised likelihood, and decoded by Viterbi over
+batches of sequences of like length. Sequences are the stretches of text around digits, @ and
+bracketed "at": tokens more than CONTEXT characters from all of these are outside by definition
+of the model. Its spans are kept if they overlap no base span and have the digits that their kind
+needs. They add formats which the patterns don't have: national telephone numbers, addresses with
+a written-out at, address numbers in hexadecimal, cards of 13 digits, and numbers of persons and
+accounts (kind `id`).
+
+Null texts count as empty and have no span. Positions are code points, ends exclusive. Repeated
+rows give repeated results; columns other than id and text are not read.
+"""
+
+from __future__ import annotations
+
+import functools
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+KINDS = ("email", "ip", "card", "phone")
+ADDED = (*KINDS, "id")
+Span = tuple[int, int, str]
+
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_ANY = re.compile(r"[0-9@]")
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        x = int(c) * (1 + k % 2)
+        total += x - 9 * (x > 9)
+    return total % 10 == 0
+
+
+def _digits(text: str) -> str:
+    return "".join(c for c in text if "0" <= c <= "9")
+
+
+def base_spans(text: str) -> list[Span]:
+    """The spans of the four patterns, by start, then kind as listed."""
+    if not _ANY.search(text):
+        return []
+    found: list[Span] = []
+    at, last = text.find("@"), 0
+    while at >= 0:
+        # a match that reaches this sign begins where the run of its characters does
+        start = at
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (m := _DOMAIN.match(text, at + 1)):
+            found.append((start, m.end(), "email"))
+            last = m.end()
+        at = text.find("@", max(at + 1, last))
+    found += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x[-3:]) <= 255 for x in m[0].split("."))]
+    found += [(*m.span(), "card") for m in _CARD.finditer(text) if 14 <= len(x := _digits(m[0])) <= 19 and luhn(x)]
+    found += [(*m.span(), "phone") for m in _PHONE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
+    return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
+
+
+# The field
+
+#: Marked spans are {kind:text}. Rows without one show what looks alike and is nothing.
+LABELLED = """
+Call {phone:(415) 555-0132} after five
+call {phone:415-555-0132} today
+Tel. {phone:030 1234567} bitte
+Tel: {phone:0049 30 1234567}
+phone {phone:555 013 2244} or write
+my number is {phone:(212) 555 7788}, thanks
+téléphone {phone:06 12 34 56 78} svp
+teléfono {phone:91 555 12 34} gracias
+fax {phone:212.555.0199}.
+reach me at {phone:646-555-0101} before noon
+mobile {phone:0151 23456789} und dann
+{phone:(303) 555-0144} is the desk
+write to {email:jane (at) example (dot) com} soon
+mail {email:j.doe [at] mail.example.org} please
+contact {email:sales[at]example.com} for it
+{email:max (at) beispiel.de} schreiben
+server {ip:2001:db8:85a3:0:0:8a2e:370:7334} answered
+host {ip:fe80:0:0:0:204:61ff:fe9d:f156} is down
+card {card:4222222222222} expires
+Visa {card:4917610000003} was charged
+SSN {id:123-45-6789} on file
+social security {id:078-05-1120} was used
+ssn: {id:219-09-9999}.
+IBAN {id:DE89370400440532013000} for it
+iban {id:GB29 NWBK 6016 1331 9268 19} please
+account {id:FR7630006000011234567890189} holder
+passport {id:C01X00T47} of hers
+DNI {id:12345678Z} del titular
+version 3.
+version 2.0 of the license
+Apache License, Version 2.0.
+CC BY-NC 4.0.
+General Public License, version 3
+in 1999 and 2004 it was
+from 12 to 15 of them
+page 23 of 140
+on 2021-03-04 at 10:30
+the 12.05.2020 was a day
+a number 4465758382889437 in the text
+and 9870157079875996 the
+token = "aebccd4559894937c75946a5f6a3ed5b13ef9ee9" there
+key f33e61083db5dbdf4bd2369d2f80176e57f7fda2
+costs 1,234.56 in all
+price 19.99 or 20
+ratio 3:2 and 16:9
+room 101, floor 7
+see 1.2.3 and 4.5
+build 10.0.19041.1 was
+https://example.com/en/825?page=2
+item 12345 of lot 678
+about 1000000 people
+it is 50% or 7 times
+id 88 and 99
+reply @ noon
+order 2023-000123 shipped
+section 4-2-1 says
+isbn 978-3-16-148410-0 book
+score 12-7 at home
+1 2 3 4 5 6
+500 g and 250 ml
+""".strip().split("\n")
+
+CUES = frozenset("call tel telefon phone téléphone teléfono fax mobile mobil number ssn social security iban account passport dni card visa server host mail write contact at dot version license page token key isbn order".split())
+CONTEXT = 48
+LABELS = ("O", *(f"{p}-{k}" for k in ADDED for p in "BI"))
+_TOKEN = re.compile(r"[^\W_]+|[^\s\w]|_")
+_TRIGGER = re.compile(r"[0-9@]+|[(\[{] ?at ?[)\]}]")
+
+
+def _shape(token: str) -> str:
+    if token.isdigit():
+        return f"d{min(len(token), 20)}"
+    if not token[0].isalnum():
+        return token
+    if any(c.isdigit() for c in token):
+        return ("h" if all(c in "0123456789abcdef" for c in token) else "A" if token.upper() == token else "a") + str(min(len(token), 24) if len(token) <= 6 else 4 * (min(len(token), 24) // 4))
+    return "at" if token == "at" else "dot" if token == "dot" else "X" if token.isupper() else "Xx" if token[0].isupper() else "x"
+
+
+def _features(text: str, tokens: list[re.Match]) -> list[list[str]]:
+    shapes = ["<", "<", *(_shape(m[0]) for m in tokens), ">", ">"]
+    words = [m[0].lower() for m in tokens]
+    spaces = [i == 0 or tokens[i].start() > tokens[i - 1].end() for i in range(len(tokens))] + [True]
+    out = []
+    for i in range(len(tokens)):
+        b, a, s, z, y = shapes[i : i + 5]
+        gap = f"{spaces[i]:d}{spaces[i + 1]:d}"
+        made = [f"0{s}", f"-{a}", f"+{z}", f"2{b}", f"3{y}", f"p{a}|{s}|{gap[0]}", f"n{s}|{z}|{gap[1]}", f"t{a}|{s}|{z}", f"g{gap}", f"q{b}|{a}|{s}"]
+        made += [f"c{w}" for w in dict.fromkeys(words[max(0, i - 6) : i]) if w in CUES]
+        out.append(made)
+    return out
+
+
+class Field:
+    """Weights of features by label, of transitions, and of first labels."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.weights = np.zeros((0, len(LABELS)))
+        self.moves = np.zeros((len(LABELS), len(LABELS)))
+
+    def emissions(self, rows: list[list[str]]) -> np.ndarray:
+        out = np.zeros((len(rows), len(LABELS)))
+        for i, row in enumerate(rows):
+            known = [self.index[f] for f in row if f in self.index]
+            if known:
+                out[i] = self.weights[known].sum(0)
+        return out
+
+    @staticmethod
+    def _allowed() -> np.ndarray:
+        """I follows only B or I of its kind."""
+        barred = np.zeros((len(LABELS), len(LABELS)))
+        for j, to in enumerate(LABELS):
+            if to[0] == "I":
+                barred[[i for i, of in enumerate(LABELS) if of[2:] != to[2:]], j] = -1e4
+        return barred
+
+    def train(self, rounds: int = 200, rate: float = 0.1, penalty: float = 0.02) -> Field:
+        sequences = []
+        for line in LABELLED:
+            text, marks = "", []
+            for part in re.split(r"(\{[a-z]+:[^}]*\})", line):
+                if m := re.fullmatch(r"\{([a-z]+):([^}]*)\}", part):
+                    marks.append((len(text), len(text) + len(m[2]), m[1]))
+                    part = m[2]
+                text += part
+            tokens = list(_TOKEN.finditer(text))
+            labels = []
+            for t in tokens:
+                own = next((s for s in marks if s[0] <= t.start() < s[1]), None)
+                labels.append(LABELS.index(f"{'B' if own[0] == t.start() else 'I'}-{own[2]}") if own else 0)
+            rows = _features(text, tokens)
+            for row in rows:
+                for f in row:
+                    self.index.setdefault(f, len(self.index))
+            sequences.append(([[self.index[f] for f in row] for row in rows], labels))
+        n, t, k = len(sequences), max(len(x[1]) for x in sequences), len(LABELS)
+        have = np.zeros((n, t), bool)
+        gold = np.zeros((n, t), int)
+        where, which = [], []
+        for i, (rows, labels) in enumerate(sequences):
+            have[i, : len(labels)], gold[i, : len(labels)] = True, labels
+            where += [i * t + j for j, row in enumerate(rows) for _ in row]
+            which += [f for row in rows for f in row]
+        where, which = np.array(where), np.array(which)
+        self.weights = np.zeros((len(self.index), k))
+        barred = self._allowed()
+        true = np.zeros((n, t, k))
+        true[have, gold[have]] = 1
+        pairs = np.zeros((k, k))
+        both = have[:, 1:]
+        np.add.at(pairs, (gold[:, :-1][both], gold[:, 1:][both]), 1)
+        moments = [np.zeros_like(x) for x in (self.weights, self.weights, self.moves, self.moves)]
+        first_barred = np.array([-1e4 if x[0] == "I" else 0.0 for x in LABELS])
+
+        def log_sum(x, axis):
+            m = x.max(axis, keepdims=True)
+            return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))
+
+        for step in range(1, rounds + 1):
+            e = np.zeros((n * t, k))
+            np.add.at(e, where, self.weights[which])
+            e = e.reshape(n, t, k)
+            move = self.moves + barred
+            f, b = np.zeros((n, t, k)), np.zeros((n, t, k))
+            f[:, 0] = e[:, 0] + first_barred
+            for j in range(1, t):
+                f[:, j] = np.where(have[:, j, None], log_sum(f[:, j - 1, :, None] + move[None], 1) + e[:, j], f[:, j - 1])
+            for j in range(t - 2, -1, -1):
+                b[:, j] = np.where(have[:, j + 1, None], log_sum(move[None] + (e[:, j + 1] + b[:, j + 1])[:, None, :], 2), b[:, j + 1])
+            z = log_sum(f[:, -1], 1)
+            single = np.where(have[..., None], np.exp(f + b - z[:, None, None]), 0)
+            expected = np.zeros((k, k))
+            for j in range(1, t):
+                w = np.exp(f[:, j - 1, :, None] + move[None] + (e[:, j] + b[:, j])[:, None, :] - z[:, None, None])
+                expected += w[have[:, j]].sum(0)
+            grads = [np.zeros_like(self.weights), pairs - expected - penalty * self.moves]
+            np.add.at(grads[0], which, (true - single).reshape(n * t, k)[where])
+            grads[0] -= penalty * self.weights
+            for p, (x, g) in enumerate(((self.weights, grads[0]), (self.moves, grads[1]))):
+                m, v = moments[2 * p], moments[2 * p + 1]
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                x += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        return self
+
+    def decode(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
+        """The best labels of each sequence of emissions; sequences of like length go together."""
+        out: list[np.ndarray] = [np.zeros(0, int)] * len(sequences)
+        order = sorted((i for i in range(len(sequences)) if len(sequences[i])), key=lambda i: len(sequences[i]))
+        move = self.moves + self._allowed()
+        first_barred = np.array([-1e4 if x[0] == "I" else 0.0 for x in LABELS])
+        while order:
+            most = len(sequences[order[-1]])
+            batch = [order.pop()]
+            while order and len(sequences[order[-1]]) >= 0.7 * most and len(batch) < 512 and len(batch) * most < 100_000:
+                batch.append(order.pop())
+            lengths = np.array([len(sequences[i]) for i in batch])
+            e = np.zeros((len(batch), most, len(LABELS)))
+            for r, i in enumerate(batch):
+                e[r, : lengths[r]] = sequences[i]
+            back = np.zeros((len(batch), most, len(LABELS)), np.int8)
+            score = e[:, 0] + first_barred
+            for j in range(1, most):
+                ways = score[:, :, None] + move[None]
+                back[:, j] = ways.argmax(1)
+                score = np.where((j < lengths)[:, None], ways.max(1) + e[:, j], score)
+            label = score.argmax(1)
+            path = np.zeros((len(batch), most), int)
+            for j in range(most - 1, -1, -1):
+                inside = j < lengths
+                path[inside, j] = label[inside]
+                if j:
+                    label = np.where(inside, back[np.arange(len(batch)), j, label], label)
+            for r, i in enumerate(batch):
+                out[i] = path[r, : lengths[r]]
+        return out
+
+
+@functools.cache
+def field() -> Field:
+    return Field().train()
+
+
+def _stretches(text: str) -> list[tuple[int, int]]:
+    """The parts of the text around triggers, to whole words."""
+    out: list[list[int]] = []
+    for m in _TRIGGER.finditer(text):
+        s, e = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
+        if out and s <= out[-1][1]:
+            out[-1][1] = e
+        else:
+            out.append([s, e])
+    # to white space, but for CONTEXT characters at most
+    for k, (s, e) in enumerate(out):
+        low = max(0, s - CONTEXT) if not k else max(out[k - 1][1], s - CONTEXT)
+        high = min(len(text), e + CONTEXT) if k + 1 == len(out) else min(out[k + 1][0], e + CONTEXT)
+        while s > low and not text[s - 1].isspace():
+            s -= 1
+        while e < high and not text[e].isspace():
+            e += 1
+        out[k] = [s, e]
+    return [(s, e) for s, e in out]
+
+
+def _fits(kind: str, text: str) -> bool:
+    digits = _digits(text)
+    if kind == "phone":
+        return 7 <= len(digits) <= 15
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "email":
+        return "." in text or "dot" in text
+    if kind == "ip":
+        return text.count(":") == 7
+    return len(digits) >= 4 and 8 <= sum(c.isalnum() for c in text) <= 34
+
+
+def added_spans(texts: list[str], based: list[list[Span]]) -> list[list[Span]]:
+    """The field's spans of each text that overlap none of its base spans, by start."""
+    model = field()
+    jobs, rows = [], []
+    for i, text in enumerate(texts):
+        for s, e in _stretches(text):
+            tokens = list(_TOKEN.finditer(text, s, e))
+            jobs.append((i, tokens))
+            rows.append(model.emissions(_features(text, tokens)))
+    out: list[list[Span]] = [[] for _ in texts]
+    for (i, tokens), labels in zip(jobs, model.decode(rows), strict=True):
+        at = 0
+        while at < len(labels):
+            name = LABELS[labels[at]]
+            end = at + 1
+            if name[0] == "B":
+                while end < len(labels) and LABELS[labels[end]] == f"I-{name[2:]}":
+                    end += 1
+                s, e = tokens[at].start(), tokens[end - 1].end()
+                if _fits(name[2:], texts[i][s:e]) and not any(x < e and s < y for x, y, _ in based[i]):
+                    out[i].append((s, e, name[2:]))
+            at = end
+    return out
+
+
+def joined(spans: list[Span]) -> str:
+    return ",".join(f"{kind}:{s}:{e}" for s, e, kind in sorted(spans, key=lambda x: (x[0], ADDED.index(x[2]))))
+
+
+def _pieces(texts: list[str], most: int = 1 << 21):
+    """Row ranges of about `most` characters."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= most):
+            size += len(texts[j])
+            j += 1
+        yield i, j
+        i = j
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card and n_phone (of base spans), base_sha256, spans (all) for each row of docs (doc_id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            for i, j in _pieces(texts):
+                based = [base_spans(x) for x in texts[i:j]]
+                more = added_spans(texts[i:j], based)
+                counts = [pa.array([sum(s[2] == k for s in spans) for spans in based], pa.int64()) for k in KINDS]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, j - i), *counts, pa.array([hashlib.sha256(joined(x).encode()).hexdigest() for x in based], pa.string()), pa.array([joined(x + y) for x, y in zip(based, more, strict=True)], pa.string())],
+                    ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+
+
+def masked(text: str, spans: list[Span]) -> str:
+    """The text with each span, or run of overlapping spans, replaced by the name of its (first) kind."""
+    out, at = [], 0
+    for s, e, kind in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if s >= at:
+            out.append(f"{text[at:s]}<{kind.upper()}>")
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with the spans in text masked and n_chars, if there, of the new text. Null texts stay null."""
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for i, j in _pieces([x or "" for x in texts]):
+                part = [x or "" for x in texts[i:j]]
+                based = [base_spans(x) for x in part]
+                clean = [x and masked(x, a + b) for x, a, b in zip(texts[i:j], based, added_spans(part, based), strict=True)]
+                columns = [batch.column(c).slice(i, j - i) for c in names]
+                columns[names.index("text")] = pa.array(clean, pa.string())
+                if "n_chars" in names:
+                    k = names.index("n_chars")
+                    columns[k] = pa.array([old if new is None or new == was else len(new) for old, new, was in zip(columns[k].to_pylist(), clean, texts[i:j], strict=True)], columns[k].type)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.mapInArrow(run, docs.schema)

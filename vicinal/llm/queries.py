@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, language, mixing, order_minhash, sharding, vafile
+from . import bpe, fingerprint, html_main, language, mixing, order_minhash, pii_crf, quality_cnn, sharding, vafile
 from .shared import held_out, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -77,6 +77,20 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op6_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
+    network = quality_cnn.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality_cnn.score(docs, network, keep=("doc_id", "held_out"))
+
+
+def op8_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find(table(spark, sf_dir, "documents"))
+
+
 def op9_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -86,7 +100,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_kd_shards, op2_language_mixture, op3_mix_sources, op4_va_file_top5, op5_order_minhash, op9_one_permutation, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_kd_shards, op2_language_mixture, op3_mix_sources, op4_va_file_top5, op5_order_minhash, op6_host_consensus, op7_byte_cnn, op8_crf_pii, op9_one_permutation, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

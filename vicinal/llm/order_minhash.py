@@ -7,17 +7,19 @@
    taken, in text order: equal entries of two sketches hint at a small edit distance, not only at
    common content. Two entries make a band, 20 bands a text; texts of similarity 0.8 share no
    band with chance 3e-5.
-3. Texts that share a band are compared within it: bands are split into blocks of at most
-   `block_rows` texts, in a random order of its own for each band. A block keeps leaders: each
-   text that no leader stands for is compared with all later ones by their whole sketches, and
-   those with at least `least_equal` of 40 equal entries become candidates; those with
-   `sure_equal` are left to that leader. So a group of near copies gives about as many candidates
-   as texts, not all pairs. The leaders of the blocks of a large band meet again until one block
-   holds them; if their number doesn't fall, every pair of blocks is compared. No band is capped.
-4. A candidate is a link if its banded alignment is good enough: L, the longest common
-   subsequence of both k-mer sequences within the band of offsets that similarity `least` allows,
-   over all k-mers of both less L, is at least 0.8. That is the Jaccard index of the k-mers for
-   texts whose parts keep their order. Beforehand the common labelled k-mers bound L from above.
+3. Texts that share a band and have at least `least_equal` of 40 entries equal are candidates
+   (chance 5e-5 to miss similarity 0.8). Within a band only a spanning tree of each connected group
+   of candidates is kept, not its pairs. Bands are split into blocks of at most `band_rows` texts;
+   some texts of every connected group of a block meet those of the others in a next round, until
+   one block holds them; if their number doesn't fall, all pairs of blocks are compared.
+4. Connected components of the candidates are clusters, which hold every link. A cluster's texts
+   come together once, in blocks of bounded rows and bytes; a cluster of more than one block has
+   every pair of its blocks compared. Within a block the common labelled k-mers of all texts are
+   counted exactly by an index of k-mers; where they suffice for similarity 0.8 and the texts
+   aren't linked yet by way of others, a banded alignment decides: L, the longest common
+   subsequence of both k-mer sequences within the band of offsets that the similarity allows, over
+   all k-mers of both less L, is at least 0.8. That is the Jaccard index of the k-mers for texts
+   whose parts keep their order. No band or cluster is capped, and no pairs are listed.
 5. Connected components of the links, by repeated least-neighbour steps, are the classes.
 
 Null texts belong to no group: each is its own class. Texts without a word are near only to equal
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U, blocks, mix, shingle_hashes, word_hashes
-from .shared import materialize
+from .shared import filter_words, materialize, perhaps
 
 ENTRIES, BAND, KMER_WORDS = 40, 2, 5
 _SEEDS = mix(np.arange(1, ENTRIES + 1, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
@@ -82,7 +84,7 @@ def sketches(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (null texts have one of their own), keys of the bands and sketch (16 bits of each entry; both null without a word) of each row of docs (doc_id, text). The one pass over all texts."""
+    """doc_id, text_key (null texts have one of their own), bytes, keys of the bands and sketch (16 bits of each entry; both null without a word) of each row of docs (doc_id, text). The one pass over all texts."""
 
     def run(batches):
         for batch in batches:
@@ -102,36 +104,40 @@ def sketched(docs: DataFrame) -> DataFrame:
                 none = counts == 0
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(i, n), pa.array(names[i:j], pa.string()),
+                        ids.slice(i, n), pa.array(names[i:j], pa.string()), pa.array(np.diff(at)),
                         pa.array([None if x else y for x, y in zip(none, keys.view(np.int64), strict=True)], pa.list_(pa.int64())),
                         pa.array([None if x else y.tobytes() for x, y in zip(none, small, strict=True)], pa.binary()),
                     ],
-                    ["doc_id", "text_key", "keys", "sketch"],
+                    ["doc_id", "text_key", "bytes", "keys", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text_key string, keys array<long>, sketch binary")
-
-
-def _lead(key: int, ids: np.ndarray, sk: np.ndarray, least: int, sure: int) -> tuple[list, list, np.ndarray]:
-    """Candidates (two lists) of a block and its leaders."""
-    with np.errstate(over="ignore"):
-        order = np.argsort(mix(ids.astype(U) ^ U(key & 0xFFFFFFFFFFFFFFFF)), kind="stable")
-    ids, sk = ids[order], sk[order]
-    free = np.ones(len(ids), bool)
-    a, b = [], []
-    for i in range(len(ids)):
-        if not free[i] or i + 1 == len(ids):
-            continue
-        equal = (sk[i + 1 :] == sk[i]).sum(1)
-        near = np.flatnonzero(equal >= least)
-        a.append(np.full(len(near), ids[i]))
-        b.append(ids[i + 1 :][near])
-        free[i + 1 :] &= equal < sure
-    return a, b, order[free]
-
-
-def _blocks(rows: DataFrame, least: int, sure: int) -> DataFrame:
-    """Of rows (key, block, id, sketch): candidates as (a, b) and leaders of blocks as (key, a), told apart by `leads`."""
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text_key string, bytes long, keys array<long>, sketch binary")
+
+
+def _connected(sk: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of texts with `least` equal entries (two arrays of places), and the group of each."""
+    free, group = np.arange(1, len(sk)), np.zeros(len(sk), np.int64)
+    todo, a, b, name = [0], [], [], 0
+    while todo or len(free):
+        if not todo:
+            name += 1
+            todo, free = [int(free[0])], free[1:]
+            group[todo[0]] = name
+        i = todo.pop()
+        near = (sk[free] == sk[i]).sum(1) >= least
+        found = free[near]
+        if len(found):
+            group[found] = name
+            a.append(np.full(len(found), i))
+            b.append(found)
+            todo += found.tolist()
+            free = free[~near]
+    none = np.zeros(0, np.int64)
+    return np.concatenate(a) if a else none, np.concatenate(b) if b else none, group
+
+
+def _blocks(rows: DataFrame, least: int, sent: int = 8) -> DataFrame:
+    """Of rows (key, block, id, sketch): candidates as (a, b) and, of blocks numbered from 0, `sent` texts of each connected group as (key, a), told apart by `leads`."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -153,10 +159,14 @@ def _blocks(rows: DataFrame, least: int, sure: int) -> DataFrame:
                             pa_.append(ids[s : s + 1])
                             pb_.append(ids[s + 1 : e])
                         continue
-                    a, b, leaders = _lead(int(key[s]), ids[s:e], sk[s:e], least, sure)
-                    pa_ += a
-                    pb_ += b
+                    a, b, group = _connected(sk[s:e], least)
+                    pa_.append(ids[s + a])
+                    pb_.append(ids[s + b])
                     if block[s] >= 0:
+                        order = np.argsort(group, kind="stable")
+                        starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+                        place = np.arange(e - s) - np.repeat(starts, np.diff(np.append(starts, e - s)))
+                        leaders = order[place < sent]
                         lk.append(np.full(len(leaders), key[s]))
                         li.append(s + leaders)
                 if pa_:
@@ -179,32 +189,37 @@ def _blocks(rows: DataFrame, least: int, sure: int) -> DataFrame:
     return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "leads boolean, key long, a long, b long")
 
 
-def candidates(groups: DataFrame, least_equal: int, sure_equal: int, block_rows: int) -> DataFrame:
-    """Distinct candidate pairs (a < b) of rows (id, keys, sketch)."""
+def candidates(groups: DataFrame, least_equal: int, band_rows: int) -> DataFrame:
+    """Pairs of candidates that connect all candidates, from rows (id, keys, sketch)."""
     sketch = groups.select(F.col("id").alias("i"), "sketch")
     rows = groups.select(F.explode("keys").alias("key"), "id")
     pairs, before, every_pair = None, None, False
     while True:
         shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
-        dealt = rows.join(shared, F.col("key") == F.col("k")).withColumn("parts", F.ceil(F.col("n") / block_rows))
-        dealt = dealt.withColumn("place", F.pmod(F.xxhash64("id", "key"), F.col("parts")))
-        if every_pair:
-            dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-            dealt = dealt.withColumn("block", -2 - (F.greatest("place", "with") * F.col("parts") + F.least("place", "with")))
-        else:
-            dealt = dealt.withColumn("block", F.when(F.col("parts") > 1, F.col("place")).otherwise(-1))
+        dealt = rows.join(shared, F.col("key") == F.col("k"))
+        dealt = _dealt(dealt.withColumn("parts", F.ceil(F.col("n") / band_rows)), every_pair, F.col("key"))
         dealt = dealt.select("key", "block", "id").join(sketch, F.col("id") == F.col("i"))
-        out = materialize(_blocks(dealt.select("key", "block", "id", "sketch"), least_equal, sure_equal), "omh-pairs")
+        out = materialize(_blocks(dealt.select("key", "block", "id", "sketch"), least_equal), "omh-pairs")
         part = out.where(~F.col("leads")).select("a", "b")
         pairs = part if pairs is None else pairs.unionByName(part)
         rows = out.where("leads").select("key", F.col("a").alias("id"))
         left = 0 if every_pair else rows.count()
         if not left:
             return pairs.distinct()
-        # while leaders become fewer they meet in blocks again; else every pair of blocks is compared
+        # while those sent on become fewer they meet in blocks again; else every pair of blocks is compared
         every_pair, before = before is not None and left > 0.8 * before, left
 
 
+def _dealt(rows: DataFrame, every_pair: bool, *salt) -> DataFrame:
+    """rows (id, parts, ...) with block: -1 where one holds all, else a number from 0, or below -1 for pairs of blocks."""
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("id", *salt), F.col("parts")))
+    if not every_pair:
+        return rows.withColumn("block", F.when(F.col("parts") > 1, F.col("place")).otherwise(-1))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    code = -2 - (F.greatest("place", "with") * F.col("parts") + F.least("place", "with"))
+    return rows.withColumn("block", F.when(F.col("parts") > 1, code).otherwise(-1))
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """The banded-alignment similarity of two k-mer sequences, or 0 if it is known to be below least."""
     if np.array_equal(a, b):
@@ -244,28 +259,91 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return common / (n + m - common)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough; docs (doc_id, text) is shuffled once, and only the texts of candidates go on."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.join(involved, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = materialize(texts, "omh-texts")
-    one = texts.select(F.col("doc_id").alias("ia"), F.col("text").alias("ta"))
-    two = texts.select(F.col("doc_id").alias("ib"), F.col("text").alias("tb"))
-    both = pairs.join(one, F.col("a") == F.col("ia")).join(two, F.col("b") == F.col("ib")).select("a", "b", "ta", "tb")
+def _links(ids: np.ndarray, texts: pa.Array, least: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links between a block's texts."""
+    made = [shingle_hashes(*word_hashes(data, at), KMER_WORDS) for _, _, data, at in blocks(texts)]
+    counts = np.concatenate([c for _, c in made])
+    shingles = np.concatenate([x for x, _ in made])
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    m = len(ids)
+    root = np.arange(m)
+    if m == 2:
+        pairs = [(0, 1)]
+    else:
+        # the index: of each labelled k-mer of more than one text, those texts
+        _, name, often = np.unique(labelled(shingles, counts), return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(m), counts)
+        posts = of[np.argsort(name, kind="stable")]
+        first = np.cumsum(often) - often
+        # the most typical texts first: they link most others
+        typical = np.bincount(of, weights=often[name], minlength=m) / np.maximum(counts, 1)
+        order = np.argsort(-typical, kind="stable")
+        rank = np.empty(m, np.int64)
+        rank[order] = np.arange(m)
+        pairs = _near(order, rank, root, counts, starts, name, often, first, posts, least)
+    a, b = [], []
+    for i, j in pairs:
+        if root[i] != root[j] and similarity(shingles[starts[i] : starts[i + 1]], shingles[starts[j] : starts[j + 1]], least) >= least:
+            a.append(int(ids[i]))
+            b.append(int(ids[j]))
+            root[root == root[j]] = root[i]
+    return a, b
+
+
+def _near(order, rank, root, counts, starts, name, often, first, posts, least):
+    """Pairs of places in different trees with enough common labelled k-mers; reads root as it grows."""
+    for i in order:
+        if (root == root[i]).all():
+            return
+        own = name[starts[i] : starts[i + 1]]
+        own = own[often[own] > 1]
+        if not len(own):
+            continue
+        sizes = often[own]
+        at = np.repeat(first[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        common = np.bincount(posts[at], minlength=len(root))
+        enough = (common >= least * (counts[i] + counts) / (1 + least) - 1e-9) & (rank > rank[i]) & (root != root[i])
+        for j in np.flatnonzero(enough)[np.argsort(-common[enough], kind="stable")]:
+            yield i, j
+
+
+def verified(clusters: DataFrame, docs: DataFrame, least: float, block_rows: int, block_bytes: int) -> DataFrame:
+    """Links (a, b) that connect all links, from clusters (id, cluster, bytes) and docs (doc_id, text). Of docs, those outside any cluster are left where they are."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes")).withColumnRenamed("cluster", "c")
+    parts = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("all_bytes") / block_bytes))
+    dealt = _dealt(clusters.join(sizes, F.col("cluster") == F.col("c")).withColumn("parts", parts), True).select("cluster", "block", "id")
+    texts = perhaps(docs, "doc_id", filter_words(clusters, "id"), True).select("doc_id", "text")
+    rows = dealt.join(texts, F.col("id") == F.col("doc_id")).select("cluster", "block", "id", "text")
 
     def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def groups(last: bool):
+            table = pa.Table.from_batches(held)
+            key, block = (table.column(c).to_numpy() for c in ("cluster", "block"))
+            ends = np.append(np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0)) + 1, len(key))
+            if not last:
+                ends = ends[:-1]
+            a, b, s = [], [], 0
+            for e in ends.tolist():
+                ids = table.column("id").slice(s, e - s).to_numpy()
+                keep = np.unique(ids, return_index=True)[1]
+                if len(keep) > 1:
+                    x, y = _links(ids[keep], table.column("text").slice(s, e - s).combine_chunks().take(pa.array(keep)), least)
+                    a, b = a + x, b + y
+                s = e
+            held[:] = table.slice(s).to_batches()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                made = []
-                for c in ("ta", "tb"):
-                    ((_, _, data, at),) = blocks(batch.column(c).slice(i, 1))
-                    made.append(shingle_hashes(*word_hashes(data, at), KMER_WORDS)[0])
-                good[i] = similarity(*made, least) >= least
-            keep = pa.array(np.flatnonzero(good))
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], ["a", "b"])
+            held.append(batch)
+            c, k = batch.column("cluster"), batch.column("block")
+            if len(held) == 1 or c[0] != held[0].column("cluster")[0] or k[0] != held[0].column("block")[0] or c[-1] != c[0] or k[-1] != k[0]:
+                yield groups(False)
+        if held:
+            yield groups(True)
 
-    return both.mapInArrow(run, "a long, b long")
+    return rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -291,23 +369,31 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
-def classes(docs: DataFrame, least: float = 0.8, least_equal: int = 12, sure_equal: int = 24, block_rows: int = 4_000) -> DataFrame:
+def classes(docs: DataFrame, least: float = 0.8, least_equal: int = 14, band_rows: int = 4_096, block_rows: int = 1_024, block_bytes: int = 1 << 24) -> DataFrame:
     """doc_id, class_id (the least id of its class) and exact_id (the least id with an equal text) for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = docs.where("doc_id is not null")
     light = materialize(sketched(some), "omh-sketches")
     # equal texts have equal sketches, so any one does
-    groups = light.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
+    groups = light.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.any_value("bytes").alias("bytes"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
     groups = materialize(groups, "omh-groups")
-    pairs = materialize(candidates(groups.where("keys is not null").select("id", "keys", "sketch"), least_equal, sure_equal, block_rows), "omh-candidates")
-    roots = components(materialize(verify(pairs, some, least), "omh-verified"))
-    groups = groups.select("text_key", F.col("id").alias("exact_id"))
-    named = groups.join(roots, F.col("exact_id") == F.col("node"), "left").select("text_key", "exact_id", F.coalesce("root", "exact_id").alias("class_id"))
-    named = light.join(named.withColumnRenamed("text_key", "k"), F.col("text_key") == F.col("k")).select("doc_id", "class_id", "exact_id")
+    pairs = candidates(groups.where("keys is not null").select("id", "keys", "sketch"), least_equal, band_rows)
+    clusters = components(pairs)
+    clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
+    clusters = materialize(clusters.join(groups.select("id", "bytes"), F.col("node") == F.col("id")).select("id", F.col("root").alias("cluster"), "bytes"), "omh-clusters")
+    roots = components(materialize(verified(clusters, some, least, block_rows, block_bytes), "omh-verified"))
+    named = groups.select("text_key", F.col("id").alias("exact_id")).join(roots, F.col("exact_id") == F.col("node"), "left")
+    named = named.select(F.col("text_key").alias("k"), "exact_id", F.coalesce("root", "exact_id").alias("class_id"))
+    named = light.select("doc_id", "text_key").join(named, F.col("text_key") == F.col("k")).select("doc_id", "class_id", "exact_id")
     return named.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("exact_id")))
 
 
 def without_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, one for each class: that with the class's id. Rows without an id stay."""
-    stay = classes(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, F.col("doc_id") == F.col("__stay"), "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """The rows of docs, all columns, one for each class: that with the class's id. Rows without an id stay; of rows that share an id one stays. Rows that surely stay aren't shuffled."""
+    named = materialize(classes(docs, **options).where("doc_id is not null"), "omh-classes")
+    judged = named.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n")).where("n > 1 or doc_id <> class_id")
+    judged = materialize(judged.select(F.col("doc_id").alias("__id"), (F.col("doc_id") == F.col("class_id")).alias("__stays")), "omh-judged")
+    words = filter_words(judged, "__id")
+    doubtful = perhaps(docs, "doc_id", words, True).join(judged, F.col("doc_id") == F.col("__id"), "left")
+    settled = doubtful.where("__stays is null").select(*docs.columns).unionByName(doubtful.where("__stays").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return perhaps(docs, "doc_id", words, False).unionByName(settled)

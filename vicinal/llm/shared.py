@@ -36,3 +36,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id):
     """The rows that no model may learn from: crc32 of the id as text leaves 2 modulo 4. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+FILTER_WORDS = 1 << 20
+
+
+def filter_words(rows: DataFrame, column: str) -> DataFrame:
+    """A Bloom filter of a column of ids as a table of at most FILTER_WORDS words of 64 bits, whatever the number of ids."""
+    h = F.xxhash64(F.col(column).cast("long"))
+    words = rows.select(F.pmod(h, F.lit(FILTER_WORDS)).alias("__word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(cast({column} as long)), 32) & 63 as int))").alias("__bit"))
+    return materialize(words.groupBy("__word").agg(F.bit_or("__bit").alias("__bits")), "filter")
+
+
+def perhaps(rows: DataFrame, column: str, words: DataFrame, inside: bool) -> DataFrame:
+    """The rows whose id may be in the filter (inside), or surely isn't. A null id isn't."""
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(cast({column} as long)), 32) & 63 as int))")
+    same = (F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_WORDS)) == F.col("__word")) & (F.col("__bits").bitwiseAND(bit) != 0) & F.col(column).isNotNull()
+    return rows.join(F.broadcast(words), same, "left_semi" if inside else "left_anti")

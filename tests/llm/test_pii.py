@@ -1,0 +1,99 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from tests.conftest import DATA
+from vicinal.llm import pii_crf
+from vicinal.llm.queries import op8_crf_pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = kind == "email" or (kind == "ip" and all(int(x) <= 255 for x in m[0].split("."))) or (kind == "card" and 14 <= len(digits) <= 19 and pii_crf.luhn(digits)) or (kind == "phone" and 10 <= len(digits) <= 15)
+            if good:
+                out.append((*m.span(), kind))
+    return sorted(out, key=lambda s: (s[0], pii_crf.KINDS.index(s[2])))
+
+
+def test_luhn():
+    assert pii_crf.luhn("4111111111111111") and not pii_crf.luhn("4111111111111112")
+
+
+@pytest.mark.parametrize("alphabet", ["ab@.-1 ", "12.34 -+()", "0123456789", "a@b.c, 1+2", "@@..aa"])
+def test_base_spans_against_the_patterns(alphabet):
+    rng = random.Random(alphabet)
+    for _ in range(3000):
+        text = "".join(rng.choices(alphabet, k=rng.randint(0, 40)))
+        assert pii_crf.base_spans(text) == brute(text), text
+
+
+def test_base_spans_are_found_in_linear_time():
+    for text in ("1" * 300_000, "a" * 300_000 + "@", "1." * 150_000, "+1" + " " * 200_000, "@" * 100_000, "a.b@" * 50_000):
+        pii_crf.base_spans(text)
+
+
+def test_documents(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()}
+    rows = op8_crf_pii(spark, f"{DATA}/sf0.01").collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        spans = brute(docs[r["doc_id"]])
+        text = ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
+        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii_crf.KINDS] == [sum(x[2] == k for x in spans) for k in pii_crf.KINDS]
+        assert set(filter(None, text.split(","))) <= set(r["spans"].split(","))
+    # nothing in these documents looks like what the field adds
+    assert sum(len(r["spans"]) for r in rows) == sum(len(pii_crf.joined(brute(t))) for t in docs.values())
+
+
+def test_the_field_finds_formats_that_it_wasn_t_shown():
+    shown = {"Please call (917) 555-0123 now.": "phone", "Phone: 718-555-0177, evenings": "phone", "mail to kim (at) example (dot) org today": "email", "her SSN 321-54-9876 leaked": "id", "IBAN DE12500105170648489890 was used": "id", "ask host 2001:db8:1:2:3:4:5:6 then": "ip"}
+    for text, kind in shown.items():
+        (spans,) = pii_crf.added_spans([text], [[]])
+        assert [s[2] for s in spans] == [kind], (text, spans)
+    for text in ("In 2010 there were 15 of them.", "Version 3.1 of the License, 2004.", "He paid 12.50 for 3 of 7.", "no digits here", "", "room 12, floor 3"):
+        assert pii_crf.added_spans([text], [[]]) == [[]], text
+
+
+def test_viterbi_against_all_paths():
+    import itertools
+
+    import numpy as np
+
+    model = pii_crf.field()
+    rng = np.random.default_rng(2)
+    sequences = [rng.normal(0, 3, (n, len(pii_crf.LABELS))) for n in (1, 2, 3, 3, 0)]
+    move = model.moves + model._allowed()
+    for e, path in zip(sequences, model.decode(sequences)):
+        assert len(path) == len(e)
+        if len(e):
+            start = [-1e4 if x[0] == "I" else 0 for x in pii_crf.LABELS]
+            score = lambda p: start[p[0]] + sum(e[i, x] for i, x in enumerate(p)) + sum(move[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+            assert abs(score(list(path)) - max(score(p) for p in itertools.product(range(len(pii_crf.LABELS)), repeat=len(e)))) < 1e-9
+
+
+def test_masks():
+    assert pii_crf.masked("a b@c.de f", [(2, 8, "email")]) == "a <EMAIL> f"
+    assert pii_crf.masked("0123456", [(1, 4, "card"), (2, 6, "phone")]) == "0<CARD>6"
+
+
+def test_odd_documents(spark, odd, none):
+    rows = pii_crf.find(odd).collect()
+    assert len(rows) == odd.count()
+    clean = pii_crf.redact(odd)
+    assert clean.columns == odd.columns and sorted(map(str, clean.collect())) == sorted(map(str, odd.collect()))
+    assert pii_crf.find(none).count() == 0 and pii_crf.redact(none).count() == 0
+    one = spark.createDataFrame([(1, "write x@y.zz or +1 (323) 555-9830.", 34), (2, None, None)], "doc_id long, text string, n_chars long")
+    assert [tuple(r) for r in pii_crf.redact(one).orderBy("doc_id").collect()] == [(1, "write <EMAIL> or <PHONE>.", 25), (2, None, None)]

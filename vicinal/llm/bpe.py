@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_batches
+
 #: No match of the pattern reaches over these: white space after other characters, and between ASCII letters, digits and the signs after them.
 _EDGE = re.compile(r"(?<=\S)(?=[ \n])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~])")
 
@@ -78,4 +80,4 @@ def tokenize(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = (
                 made.append(pa.array(all_ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(made, [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return map_batches(docs.select(*keep, F.col("text").alias("__text")), run, schema)

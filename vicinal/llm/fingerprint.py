@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U, mix, shingle_hashes, utf8, word_hashes
+from .shared import map_batches
 
 BINS, BITS = 512, 4
 _NONE = U(0xFFFFFFFFFFFFFFFF)
@@ -151,5 +152,5 @@ def fingerprints(docs: DataFrame, range_rows: int = 2_000, block_chars: int = 1
         if len(held) > 1:
             yield finish(held)
 
-    dealt = docs.mapInArrow(deal, "r int, again boolean, doc_id long, text string")
-    return dealt.repartition("r").sortWithinPartitions("r", "again", F.desc_nulls_last("doc_id"), "text").mapInArrow(run, SCHEMA)
+    dealt = map_batches(docs, deal, "r int, again boolean, doc_id long, text string")
+    return map_batches(dealt.repartition("r").sortWithinPartitions("r", "again", F.desc_nulls_last("doc_id"), "text"), run, SCHEMA)

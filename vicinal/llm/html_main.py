@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import map_batches, materialize
+
 SHARE = 0.6
 MOST_BROADCAST = 200_000
 
@@ -199,7 +201,7 @@ def winning_paths(pages: DataFrame, paths: int = 3) -> DataFrame:
                         votes[host, best(root).path] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.string()), pa.array(votes.values(), pa.int64())], ["voted_host", "path", "votes"])
 
-    counted = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(vote, "voted_host string, path string, votes long").groupBy("voted_host", "path").agg(F.sum("votes").alias("votes"))
+    counted = map_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), vote, "voted_host string, path string, votes long").groupBy("voted_host", "path").agg(F.sum("votes").alias("votes"))
     of_host = Window.partitionBy("voted_host")
     ranked = counted.withColumn("place", F.row_number().over(of_host.orderBy(F.desc("votes"), "path"))).where(F.col("place") <= paths)
     listed = ranked.groupBy("voted_host").agg(F.sort_array(F.collect_list(F.struct("place", "path", "votes"))).alias("all"))
@@ -208,8 +210,6 @@ def winning_paths(pages: DataFrame, paths: int = 3) -> DataFrame:
 
 def main_text(pages: DataFrame, paths: int = 3) -> DataFrame:
     """page_id, url, text and n_chars for each row of pages (page_id, url, html)."""
-    from .shared import materialize
-
     winners = materialize(winning_paths(pages, paths), "html-winners")
     small = winners.count() <= MOST_BROADCAST
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
@@ -221,4 +221,4 @@ def main_text(pages: DataFrame, paths: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return map_batches(rows, run, f"page_id {kind}, url string, text string, n_chars long")

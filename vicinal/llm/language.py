@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import blocks
+from .shared import map_batches
 
 BUCKETS = 1 << 16
 
@@ -111,7 +112,7 @@ def fit(docs: DataFrame, train_chars: int = 4_000_000, most_langs: int = 256) ->
             which, bucket = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[which, bucket], pa.int64())], ["l", "b", "n"])
 
-    counted = rows.select("text", "lang").mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
+    counted = map_batches(rows.select("text", "lang"), count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
     got = counted.toArrow()  # at most languages x BUCKETS rows
     counts = np.full((BUCKETS, len(langs)), 0.5)
     counts[got["b"].to_numpy(), got["l"].to_numpy()] += got["n"].to_numpy()
@@ -153,10 +154,12 @@ def _mixtures(ll: np.ndarray, words: np.ndarray, rounds: int) -> tuple[np.ndarra
     return best, value
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), rounds: int = 8) -> DataFrame:
-    """keep columns, lang_pred, score and languages (the chosen set, largest first, as lang:proportion) for each row of docs."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in keep)), "lang_pred string, score double, languages string"])
+def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), rounds: int = 8, names: tuple[str, str, str] = ("lang_pred", "score", "languages")) -> DataFrame:
+    """keep columns, lang_pred, score and languages (the chosen set, largest first, as lang:proportion), or other names, for each row of docs."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in keep)), f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` string"])
     langs = model.langs
+    # the text goes to the workers once, be it kept or not
+    text = "text" if "text" in keep else "__text"
     shared = docs.sparkSession.sparkContext.broadcast(model.table)  # BUCKETS x languages, at most 256
 
     def run(batches):
@@ -164,7 +167,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
         for batch in batches:
             n = batch.num_rows
             name, score, sets = ["und"] * n, np.zeros(n), [""] * n
-            for i, j, data, at in blocks(batch.column("__text")):
+            for i, j, data, at in blocks(batch.column(text)):
                 if not langs:
                     break
                 made, starts, words = grams(data, at)
@@ -179,12 +182,13 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
                 for r, s in zip(rows + i, np.round(share.T, 6), strict=True):
                     order = sorted((x for x in range(len(langs)) if s[x] > 0), key=lambda x: (-s[x], langs[x]))
                     name[r], score[r], sets[r] = langs[order[0]], min(1.0, s[order[0]]), ",".join(f"{langs[x]}:{s[x]:.4f}" for x in order)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], [*keep, "lang_pred", "score", "languages"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], [*keep, *names])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return map_batches(docs.select(*keep, *([] if text in keep else [F.col("text").alias(text)])), run, schema)
 
 
 def reject(docs: DataFrame, model: LanguageModel, least: float = 0.34) -> DataFrame:
     """The rows of docs whose language is known with a proportion of `least` or more, all columns unchanged."""
-    judged = predict(docs, model, keep=tuple(docs.columns) if len(set(docs.columns)) == len(docs.columns) else ("doc_id", "text", "lang", "source", "n_chars"))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score", "languages")
+    own = ("__lang_pred", "__score", "__languages")
+    judged = predict(docs, model, keep=tuple(docs.columns), names=own)
+    return judged.where((F.col(own[0]) != "und") & (F.col(own[1]) >= least)).drop(*own)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U, blocks, mix, shingle_hashes, word_hashes
-from .shared import filter_words, materialize, perhaps
+from .shared import filter_words, map_batches, materialize, perhaps
 
 ENTRIES, BAND, KMER_WORDS = 40, 2, 5
 _SEEDS = mix(np.arange(1, ENTRIES + 1, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
@@ -111,7 +111,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                     ["doc_id", "text_key", "bytes", "keys", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text_key string, bytes long, keys array<long>, sketch binary")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, text_key string, bytes long, keys array<long>, sketch binary")
 
 
 def _connected(sk: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,7 +186,7 @@ def _blocks(rows: DataFrame, least: int, sent: int = 8) -> DataFrame:
         if held:
             yield from groups(pa.Table.from_batches(held), True)
 
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "leads boolean, key long, a long, b long")
+    return map_batches(rows.repartition("key", "block").sortWithinPartitions("key", "block"), run, "leads boolean, key long, a long, b long")
 
 
 def candidates(groups: DataFrame, least_equal: int, band_rows: int) -> DataFrame:
@@ -343,7 +343,7 @@ def verified(clusters: DataFrame, docs: DataFrame, least: float, block_rows: int
         if held:
             yield groups(True)
 
-    return rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(run, "a long, b long")
+    return map_batches(rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block"), run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

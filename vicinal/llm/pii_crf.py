@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_batches
+
 KINDS = ("email", "ip", "card", "phone")
 ADDED = (*KINDS, "id")
 Span = tuple[int, int, str]
@@ -392,7 +394,7 @@ def find(docs: DataFrame) -> DataFrame:
                     ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -423,4 +425,4 @@ def redact(docs: DataFrame) -> DataFrame:
                     columns[k] = pa.array([old if new is None or new == was else len(new) for old, new, was in zip(columns[k].to_pylist(), clean, texts[i:j], strict=True)], columns[k].type)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import blocks
+from .shared import map_batches
 
 WIDTH, STRIDE, FILTERS, EMBEDDED = 6, 256, 32, 8
 #: Strides of a slice: bounds the memory of a convolution.
@@ -190,4 +191,4 @@ def score(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",), th
             p = np.round(p, 6)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return map_batches(docs.select(*keep, F.col("text").alias("__text")), run, schema)

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -29,6 +30,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 8 << 20
+
+
+def map_batches(df: DataFrame, run, schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches of about BATCH_BYTES at most (a larger row comes alone), so that memory doesn't follow the length of texts. Sets that limit of the session if it is higher."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = df.sparkSession.conf.get(name).removesuffix("b")
+    if not limit.isdigit() or not 0 < int(limit) <= BATCH_BYTES:
+        df.sparkSession.conf.set(name, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

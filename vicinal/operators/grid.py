@@ -34,15 +34,20 @@ def _halvings(vector: Column, dims: int, start: int, n: int) -> Column:
     return F.concat(*bits)
 
 
-def assign_cells(records: DataFrame, vector: Column, dims: int, threshold: int, chunk: int = 16) -> DataFrame:
+def _chunk(most: int, threshold: int) -> int:
+    """About as many halvings as bring the fullest cell below the threshold."""
+    return max(4, (most // threshold).bit_length() + 3)
+
+
+def assign_cells(records: DataFrame, vector: Column, dims: int, threshold: int) -> DataFrame:
     """records with the column cell."""
     # NaN compares greater than any number, as the grid wants it: always the upper half
-    active = records.withColumn("cell", F.lit("")).withColumn("__open", F.lit(True))
-    done = None
-    start = 0
-    total = records.count()
-    if total <= threshold or not dims:
+    active = records.withColumn("cell", F.lit(""))
+    done, start = None, 0
+    most = records.count()
+    if most <= threshold or not dims:
         return records.withColumn("cell", F.lit(""))
+    chunk = _chunk(most, threshold)
     while True:
         active = active.withColumn("__bits", _halvings(vector, dims, start, chunk))
         active = materialize(active, "grid-active")
@@ -64,24 +69,26 @@ def assign_cells(records: DataFrame, vector: Column, dims: int, threshold: int,
         start += chunk
         if start >= DEPTH * dims:
             return done.unionByName(left.select(*records.columns, "cell"))
-        if left.isEmpty():
+        before, most = most, left.groupBy("cell").count().agg(F.max("count")).first()[0]
+        if most is None:
             return done
-        active, chunk = left, min(2 * chunk, 256)
+        # equal vectors stay together: look further at once
+        active, chunk = left, min(2 * chunk, 256) if most == before else _chunk(most, threshold)
 
 
 def cell_bounds(cell: Column, dims: int) -> tuple[Column, Column]:
     """The lower and upper bounds of a cell in each dimension; outermost ones are infinite."""
-    depth = lambda i: F.floor((F.length(cell) + (dims - 1 - i)) / dims).cast("int")
-    low, high = [], []
-    for i in range(dims):
-        n = depth(i)
-        # the place among 2 ** n slices
-        place = F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0).cast("long"), lambda s, k: s * 2 + F.substring(cell, k * dims + i + 1, F.lit(1)).cast("long"))).otherwise(F.lit(0).cast("long"))
-        width = F.pow(F.lit(2.0), 1 - n)
-        last = F.pow(F.lit(2.0), n.cast("double")) - 1
-        low.append(F.when(place == 0, F.lit(float("-inf"))).otherwise(place * width - 1))
-        high.append(F.when(place >= last, F.lit(float("inf"))).otherwise((place + 1) * width - 1))
-    return F.array(*low), F.array(*high)
+    halvings = lambda i: F.floor((F.length(cell) + (dims - 1) - i) / dims).cast("int")
+
+    def place(i: Column, n: Column) -> Column:
+        """Which of the 2 ** n slices of a dimension the cell lies in."""
+        digit = lambda k: F.substring(cell, k * dims + i + 1, F.lit(1)).cast("long")
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0).cast("long"), lambda s, k: s * 2 + digit(k))).otherwise(F.lit(0).cast("long"))
+
+    slices = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.struct(place(i, halvings(i)).alias("at"), F.pow(F.lit(2.0), halvings(i).cast("double")).alias("of")))
+    low = F.transform(slices, lambda x: F.when(x["at"] == 0, F.lit(float("-inf"))).otherwise(x["at"] * 2 / x["of"] - 1))
+    high = F.transform(slices, lambda x: F.when(x["at"] + 1 >= x["of"], F.lit(float("inf"))).otherwise((x["at"] + 1) * 2 / x["of"] - 1))
+    return low, high
 
 
 class GridIndex:

@@ -30,6 +30,8 @@ from ..plans.storage import MOST_BROADCAST, materialize
 MODES = ("sql", "alternate")
 #: The deepest level whose children still have numbers in a long.
 MAX_DEPTH = 61
+#: Vectors of a range that a task splits by itself, unless a number of points is given.
+SUBTREE_BYTES = 32 << 20
 
 
 def _mean_id(total: int, n: int) -> int:
@@ -55,40 +57,75 @@ def _choose(mode: str, range_id: int, n: int, id_sum: int, mean: np.ndarray, squ
     return at, np.float32(mean[at]), 0.0 if same else float(deviation[at]), _mean_id(id_sum, n)
 
 
-def _goes_high(mode: str, range_id: int, values: np.ndarray, ids: np.ndarray, mid: np.float32, deviation: float, mean_id: int) -> np.ndarray:
-    later = ids > mean_id
-    if deviation == 0:
-        return later
-    if mode == "sql" and range_id == 0:
-        return values >= mid
-    return (values > mid) | ((values == mid) & later)
-
-
-def _subtree(mode: str, root: int, ids: np.ndarray, vectors: np.ndarray, max_depth: int, overflow: str) -> list[tuple]:
-    """All nodes below and with a range: (range_id, dimension, mid, low, high, id, points, stdev, mean_id)."""
-    out: list[tuple] = []
-    todo = [(root, np.arange(len(ids)))]
-    while todo:
-        r, rows = todo.pop()
-        n = len(rows)
-        if n == 1:
-            out.append((r, None, None, None, None, int(ids[rows[0]]), 1, 0.0, int(ids[rows[0]])))
-            continue
-        if _depth(r) >= max_depth:
+def _subtree(mode: str, root: int, ids: np.ndarray, vectors: np.ndarray, max_depth: int, overflow: str) -> pa.Table:
+    """All nodes below and with a range, without doc_id: every level's ranges are split together."""
+    x = vectors.astype(np.float64)
+    rows, starts = np.argsort(ids, kind="stable"), np.zeros(1, np.int64)
+    ranges, depth = np.array([root]), _depth(root)
+    parts: list[dict] = []
+
+    def emit(**columns) -> None:
+        n = len(columns["range_id"])
+        parts.append({name: columns.get(name, np.ma.masked_all(n)) for name in STATISTICS.names[1:]})
+
+    while len(ranges):
+        counts = np.diff(np.append(starts, len(rows)))
+        single = counts == 1
+        if single.any():
+            own = ids[rows[starts[single]]]
+            emit(range_id=ranges[single], id=own, points=counts[single], stdev=np.zeros(len(own)), mean_id=own)
+            rows, ranges, counts = rows[np.repeat(~single, counts)], ranges[~single], counts[~single]
+            starts = np.cumsum(counts) - counts
+        if not len(ranges):
+            break
+        if depth >= max_depth:
             if overflow == "raise":
-                raise OverflowError(f"{n} points are left together at depth {max_depth}")
-            out += [(r, None, None, None, None, int(ids[i]), n, None, None) for i in rows]
-            continue
-        x = vectors[rows].astype(np.float64)
-        mean = x.mean(0)
-        dim, mid, deviation, mean_id = _choose(mode, r, n, sum(ids[rows].tolist()), mean, ((x - mean) ** 2).sum(0))
-        hidden = mode == "sql" and deviation == 0
-        out.append((r, None if hidden else dim, None if hidden else float(mid), 2 * r + 1, 2 * r + 2, None, n, deviation, mean_id))
-        high = _goes_high(mode, r, vectors[rows, dim], ids[rows], mid, deviation, mean_id)
-        for child, part in ((2 * r + 1, rows[~high]), (2 * r + 2, rows[high])):
-            if len(part):
-                todo.append((child, part))
-    return out
+                raise OverflowError(f"{counts.max()} points are left together at depth {max_depth}")
+            emit(range_id=np.repeat(ranges, counts), id=ids[rows], points=np.repeat(counts, counts))
+            break
+        of = np.repeat(np.arange(len(ranges)), counts)
+        here = x[rows]
+        mean = np.add.reduceat(here, starts, axis=0) / counts[:, None]
+        here -= mean[of]
+        here *= here
+        deviation = np.sqrt(np.add.reduceat(here, starts, axis=0) / (counts - 1)[:, None])
+        rounded = np.round(deviation, 7)
+        dim = rounded.argmax(1) if _widest(mode, depth) else rounded.argmin(1)
+        each = np.arange(len(ranges))
+        mid, spread = mean[each, dim].astype(np.float32), deviation[each, dim]
+        spread[spread <= 1e-12 * np.maximum(1.0, np.abs(mean[each, dim]))] = 0
+        mean_id = _mean_ids(ids[rows], starts, counts)
+        hidden = (spread == 0) & (mode == "sql")
+        emit(
+            range_id=ranges, dimension=np.ma.masked_array(dim, hidden), mid=np.ma.masked_array(mid, hidden), low_range_id=2 * ranges + 1, high_range_id=2 * ranges + 2, points=counts, stdev=spread, mean_id=mean_id,
+        )
+        later = ids[rows] > mean_id[of]
+        value = vectors[rows, dim[of]]
+        if mode == "sql" and depth == 0:
+            high = value >= mid[of]
+        else:
+            high = (value > mid[of]) | ((value == mid[of]) & later)
+        high = np.where((spread == 0)[of], later, high)
+        # low before high within each range, ranges in order
+        order = np.argsort(2 * of + high, kind="stable")
+        rows, child = rows[order], (2 * of + high)[order]
+        starts = np.flatnonzero(np.diff(child, prepend=-1))
+        ranges = 2 * ranges[child[starts] // 2] + 1 + child[starts] % 2
+        depth += 1
+    kinds = (pa.int64(), pa.int32(), pa.float32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+    columns = []
+    for name, kind in zip(STATISTICS.names[1:], kinds, strict=True):
+        columns.append(pa.chunked_array([pa.array(np.ma.getdata(p[name]), mask=np.ma.getmaskarray(p[name]), from_pandas=False).cast(kind, safe=False) for p in parts], kind))
+    return pa.table(columns, names=STATISTICS.names[1:])
+
+
+def _mean_ids(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The mean id of each range, cut toward zero; sums don't overflow."""
+    whole, rest = np.divmod(ids, np.repeat(counts, counts))
+    total, left = np.add.reduceat(whole, starts), np.add.reduceat(rest, starts)
+    carry, left = np.divmod(left, counts)
+    floor = total + carry
+    return floor + ((floor < 0) & (left > 0))
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
@@ -97,7 +134,7 @@ def _matrix(table: pa.Table) -> np.ndarray:
 
 
 def _partial_sums(points: DataFrame) -> DataFrame:
-    """For each range and batch: number, sum of ids, means, and sums of squared differences from them."""
+    """For each range and batch: number, sum of ids, sums, and sums of squared differences from the means."""
 
     def run(batches):
         for batch in batches:
@@ -111,44 +148,44 @@ def _partial_sums(points: DataFrame) -> DataFrame:
             rows = []
             for k in range(found.shape[1]):
                 at = np.flatnonzero(of.ravel() == k)
-                mean = x[at].mean(0)
-                rows.append({"doc_id": int(found[0, k]), "range_id": int(found[1, k]), "n": len(at), "id_sum": str(sum(ids[at].tolist())), "mean": mean, "squares": ((x[at] - mean) ** 2).sum(0)})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("range_id", pa.int64()), ("n", pa.int64()), ("id_sum", pa.string()), ("mean", pa.list_(pa.float64())), ("squares", pa.list_(pa.float64()))]))
+                total = x[at].sum(0)
+                rows.append({"doc_id": int(found[0, k]), "range_id": int(found[1, k]), "n": len(at), "id_sum": str(sum(ids[at].tolist())), "total": total, "squares": ((x[at] - total / len(at)) ** 2).sum(0)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("range_id", pa.int64()), ("n", pa.int64()), ("id_sum", pa.string()), ("total", pa.list_(pa.float64())), ("squares", pa.list_(pa.float64()))]))
 
-    return points.mapInArrow(run, "doc_id long, range_id long, n long, id_sum string, mean array<double>, squares array<double>")
+    return points.mapInArrow(run, "doc_id long, range_id long, n long, id_sum string, total array<double>, squares array<double>")
 
 
 def _splits(points: DataFrame, mode: str) -> DataFrame:
     """doc_id, range_id, points, dimension, mid, stdev, mean_id of each range."""
 
     def merge(table: pa.Table) -> pa.Table:
-        n, total, mean, squares = 0, 0, 0.0, 0.0
+        n, ids, total, squares = 0, 0, 0.0, 0.0
         for row in table.to_pylist():
-            m, other = row["n"], np.array(row["mean"])
-            gap = other - mean
+            m, other = row["n"], np.array(row["total"])
+            gap = other / m - total / max(n, 1)
             squares = squares + np.array(row["squares"]) + gap * gap * (n * m / (n + m))
-            mean = mean + gap * (m / (n + m))
-            n, total = n + m, total + int(row["id_sum"])
+            n, ids, total = n + m, ids + int(row["id_sum"]), total + other
         doc, r = table.column("doc_id")[0].as_py(), table.column("range_id")[0].as_py()
-        dim, mid, deviation, mean_id = _choose(mode, r, n, total, mean, squares)
+        dim, mid, deviation, mean_id = _choose(mode, r, n, ids, total / n, squares)
         return pa.table({"doc_id": pa.array([doc], pa.int64()), "range_id": pa.array([r], pa.int64()), "points": pa.array([n], pa.int64()), "dimension": pa.array([dim], pa.int32()), "mid": pa.array([mid], pa.float32()), "stdev": pa.array([deviation], pa.float64()), "mean_id": pa.array([mean_id], pa.int64())})
 
     return _partial_sums(points).groupBy("doc_id", "range_id").applyInArrow(merge, "doc_id long, range_id long, points long, dimension int, mid float, stdev double, mean_id long")
 
 
-def build_index(points: DataFrame, mode: str = "sql", max_depth: int = MAX_DEPTH, overflow: str = "leaf", cutoff: int = 20_000, checked: bool = True, statistics: bool = False) -> DataFrame:
+def build_index(points: DataFrame, mode: str = "sql", max_depth: int = MAX_DEPTH, overflow: str = "leaf", cutoff: int | None = None, checked: bool = True, statistics: bool = False) -> DataFrame:
     """The nodes of the trees of points (doc_id, id, vector), one tree for each document.
 
     overflow: what to do with points that are together at max_depth, "leaf" (a leaf of several
     ids, a row for each) or "raise". statistics: adds the number of points, the deviation and the
-    mean id of each node. checked=False leaves out the checks of ids and vectors.
+    mean id of each node. cutoff: points up to which a range is finished in one task, by default as
+    many as SUBTREE_BYTES hold. checked=False leaves out the checks of ids and vectors.
     """
     if mode not in MODES or overflow not in ("leaf", "raise"):
         raise ValueError(f"mode is one of {MODES}, overflow leaf or raise")
-    if not 0 < max_depth <= MAX_DEPTH or cutoff < 1:
+    if not 0 < max_depth <= MAX_DEPTH or (cutoff is not None and cutoff < 1):
         raise ValueError(f"max_depth lies between 1 and {MAX_DEPTH}, cutoff is positive")
-    if checked:
-        check_points(points)
+    dims = check_points(points) if checked else points.agg(F.max(F.size("vector"))).first()[0]
+    cutoff = cutoff or max(1_000, SUBTREE_BYTES // (4 * max(1, dims or 1)))
     points = points.select("doc_id", "id", "vector").withColumn("range_id", F.lit(0).cast("long"))
     upper: list[DataFrame] = []
     large = points.groupBy("doc_id").count().where(F.col("count") > cutoff).select("doc_id")
@@ -178,10 +215,8 @@ def build_index(points: DataFrame, mode: str = "sql", max_depth: int = MAX_DEPTH
 
     def finish(table: pa.Table) -> pa.Table:
         doc, r = table.column("doc_id")[0].as_py(), table.column("range_id")[0].as_py()
-        rows = _subtree(mode, r, table.column("id").to_numpy(), _matrix(table), max_depth, overflow)
-        columns = list(zip(*rows, strict=True))
-        kinds = (pa.int64(), pa.int32(), pa.float32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
-        return pa.table([pa.array([doc] * len(rows), pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=STATISTICS.names)
+        made = _subtree(mode, r, table.column("id").to_numpy(), _matrix(table), max_depth, overflow)
+        return made.add_column(0, "doc_id", pa.array(np.full(made.num_rows, doc, np.int64)))
 
     nodes = points.groupBy("doc_id", "range_id").applyInArrow(finish, STATISTICS)
     for split in upper:

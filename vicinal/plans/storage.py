@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a table of splits, nodes or cells up to which it is broadcast.
-MOST_BROADCAST = 1 << 18
+MOST_BROADCAST = 1 << 16
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ doc_id label. The query point is the vector of vec_id 0.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -262,7 +262,7 @@ def vector_csv_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> VectorCatalog:
-    catalog = VectorCatalog(spark, tempfile.mktemp(prefix="catalog-", dir=scratch_dir(spark).removeprefix("file://")) if "://" not in scratch_dir(spark).removeprefix("file://") else f"{scratch_dir(spark)}/{next(tempfile._get_candidate_names())}")
+    catalog = VectorCatalog(spark, f"{scratch_dir(spark)}/catalog-{uuid.uuid4().hex}")
     rows = _table(spark, sf_dir, "embeddings")
     catalog.add_texts(rows.select(F.col("label").cast("long").alias("doc_id"), F.col("vec_id").alias("text_id"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("["), vector_text("embedding"), F.lit("]")).alias("vector")))
     catalog.index_documents()

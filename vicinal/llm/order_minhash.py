@@ -8,8 +8,8 @@
    common content. Two entries make a band, 20 bands a text; texts of similarity 0.8 share no
    band with chance 3e-5.
 3. Texts that share a band and have at least `least_equal` of 40 entries equal are candidates
-   (chance 5e-5 to miss similarity 0.8). Within a band only a spanning tree of each connected group
-   of candidates is kept, not its pairs. Bands are split into blocks of at most `band_rows` texts;
+   (chance 5e-5 to miss similarity 0.8). Within a band every text of a connected group of candidates
+   is paired with the group's least id only. Bands are split into blocks of at most `band_rows` texts;
    some texts of every connected group of a block meet those of the others in a next round, until
    one block holds them; if their number doesn't fall, all pairs of blocks are compared.
 4. Connected components of the candidates are clusters, which hold every link. A cluster's texts
@@ -114,26 +114,30 @@ def sketched(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, text_key string, bytes long, keys array<long>, sketch binary")
 
 
-def _connected(sk: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A spanning forest of texts with `least` equal entries (two arrays of places), and the group of each."""
+def _connected(sk: np.ndarray, least: int) -> np.ndarray:
+    """The connected group of each text, where texts with `least` equal entries are neighbours."""
     free, group = np.arange(1, len(sk)), np.zeros(len(sk), np.int64)
-    todo, a, b, name = [0], [], [], 0
+    todo, name = [0], 0
     while todo or len(free):
         if not todo:
             name += 1
             todo, free = [int(free[0])], free[1:]
             group[todo[0]] = name
-        i = todo.pop()
-        near = (sk[free] == sk[i]).sum(1) >= least
+        near = (sk[free] == sk[todo.pop()]).sum(1) >= least
         found = free[near]
         if len(found):
             group[found] = name
-            a.append(np.full(len(found), i))
-            b.append(found)
             todo += found.tolist()
             free = free[~near]
-    none = np.zeros(0, np.int64)
-    return np.concatenate(a) if a else none, np.concatenate(b) if b else none, group
+    return group
+
+
+def _stars(ids: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least id of each group, next to every other id of it."""
+    order = np.lexsort((ids, group))
+    first = np.diff(group[order], prepend=-1) != 0
+    hub = ids[order][np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))]
+    return hub[~first], ids[order][~first]
 
 
 def _blocks(rows: DataFrame, least: int, sent: int = 8) -> DataFrame:
@@ -159,9 +163,10 @@ def _blocks(rows: DataFrame, least: int, sent: int = 8) -> DataFrame:
                             pa_.append(ids[s : s + 1])
                             pb_.append(ids[s + 1 : e])
                         continue
-                    a, b, group = _connected(sk[s:e], least)
-                    pa_.append(ids[s + a])
-                    pb_.append(ids[s + b])
+                    group = _connected(sk[s:e], least)
+                    a, b = _stars(ids[s:e], group)
+                    pa_.append(a)
+                    pb_.append(b)
                     if block[s] >= 0:
                         order = np.argsort(group, kind="stable")
                         starts = np.flatnonzero(np.diff(group[order], prepend=-1))
@@ -260,7 +265,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 
 def _links(ids: np.ndarray, texts: pa.Array, least: float) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links between a block's texts."""
+    """Pairs that connect what the links between a block's texts connect: the least id of each group with its others."""
     made = [shingle_hashes(*word_hashes(data, at), KMER_WORDS) for _, _, data, at in blocks(texts)]
     counts = np.concatenate([c for _, c in made])
     shingles = np.concatenate([x for x, _ in made])
@@ -281,13 +286,11 @@ def _links(ids: np.ndarray, texts: pa.Array, least: float) -> tuple[list[int], l
         rank = np.empty(m, np.int64)
         rank[order] = np.arange(m)
         pairs = _near(order, rank, root, counts, starts, name, often, first, posts, least)
-    a, b = [], []
     for i, j in pairs:
         if root[i] != root[j] and similarity(shingles[starts[i] : starts[i + 1]], shingles[starts[j] : starts[j + 1]], least) >= least:
-            a.append(int(ids[i]))
-            b.append(int(ids[j]))
             root[root == root[j]] = root[i]
-    return a, b
+    a, b = _stars(ids, root)
+    return a.tolist(), b.tolist()
 
 
 def _near(order, rank, root, counts, starts, name, often, first, posts, least):
@@ -353,18 +356,21 @@ def components(links: DataFrame) -> DataFrame:
         least = edges.groupBy(F.col(by).alias("u")).agg(F.least(F.min(other), F.min(by)).alias("m"))
         return edges.join(least, F.col(by) == F.col("u")).select(by, other, "m")
 
+    def sign(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y"))).first())
+
     edges = materialize(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x != y").distinct(), "omh-links")
-    while not edges.isEmpty():
+    signed = sign(edges)
+    while signed[0]:
         # large star: each node gives its greater neighbours its least one
         ways = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         large = least_of(ways, "x", "y").where("y > x and y != m").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         # small star: each node gives its lesser neighbours, and itself, its least one
         small = least_of(large, "x", "y")
         small = small.select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("x"), F.col("m").alias("y")).unionByName(small.select("x", F.col("m").alias("y"))).where("x != y").distinct()
-        after = materialize(small, "omh-stars")
-        same = after.count() == edges.count() and after.exceptAll(edges).isEmpty()
-        edges = after
-        if same:
+        edges = materialize(small, "omh-stars")
+        before, signed = signed, sign(edges)
+        if signed == before:
             break
     return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
 

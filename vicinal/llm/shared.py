@@ -2,33 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..plans.storage import materialize, scratch_dir
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only in local mode, where there is one machine."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not hasattr(spark, "_vicinal_scratch"):
-        spark._vicinal_scratch = tempfile.mkdtemp(prefix="vicinal-")
-    return spark._vicinal_scratch
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later jobs start from files, whatever executors are lost."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+__all__ = ["BATCH_BYTES", "FILTER_WORDS", "filter_words", "held_out", "map_batches", "materialize", "perhaps", "scratch_dir", "table"]
 
 BATCH_BYTES = 8 << 20
 
@@ -66,3 +46,4 @@ def perhaps(rows: DataFrame, column: str, words: DataFrame, inside: bool) -> Dat
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(cast({column} as long)), 32) & 63 as int))")
     same = (F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_WORDS)) == F.col("__word")) & (F.col("__bits").bitwiseAND(bit) != 0) & F.col(column).isNotNull()
     return rows.join(F.broadcast(words), same, "left_semi" if inside else "left_anti")
+

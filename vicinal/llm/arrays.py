@@ -38,7 +38,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def blocks(column: pa.Array, most: int = 1 << 20):
+def blocks(column: pa.Array, most: int = 1 << 19):
     """Runs of rows of about `most` bytes (a longer text stands alone): (first row, last row + 1, bytes, offsets from 0)."""
     data, at = utf8(column)
     i, n = 0, len(at) - 1

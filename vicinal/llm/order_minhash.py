@@ -375,7 +375,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
-def classes(docs: DataFrame, least: float = 0.8, least_equal: int = 14, band_rows: int = 4_096, block_rows: int = 1_024, block_bytes: int = 1 << 24) -> DataFrame:
+def classes(docs: DataFrame, least: float = 0.8, least_equal: int = 14, band_rows: int = 4_096, block_rows: int = 1_024, block_bytes: int = 1 << 23) -> DataFrame:
     """doc_id, class_id (the least id of its class) and exact_id (the least id with an equal text) for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = docs.where("doc_id is not null")

@@ -10,7 +10,7 @@ from ..plans.storage import materialize, scratch_dir
 
 __all__ = ["BATCH_BYTES", "FILTER_WORDS", "filter_words", "held_out", "map_batches", "materialize", "perhaps", "scratch_dir", "table"]
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def map_batches(df: DataFrame, run, schema: str | StructType) -> DataFrame:

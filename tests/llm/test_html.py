@@ -62,3 +62,30 @@ def test_odd_pages(spark):
     got = sorted((str(r["page_id"]), r["n_chars"]) for r in html_main.main_text(df).collect())
     assert got == sorted([("1", 0), ("2", 0), ("None", 1), ("3", 999_999), ("3", 999_999), ("4", 0)])
     assert html_main.main_text(df.limit(0)).count() == 0
+
+
+def test_nothing_of_an_article_is_left_beside():
+    words = "some words of it " * 20
+    for page in (
+        f"<article><h1>Title</h1><p>{words}</p><ul><li>{words * 3}</ul></article>",
+        f"<article><h1>Title</h1><p>{words}</p><table><tr><td>{words * 3}</table></article>",
+        f"<main><h1>Title</h1><div class='content'>{words}</div></main>",
+        f"<article><div class='part'>{words * 3}</div><div class='story'>{words * 2}</div></article>",
+        f"<div><h1><a href='/'>Title</a></h1><div class='content'>{words}</div></div>",
+        f"<div><div><h2>Title</h2></div><div>{words}</div></div>",
+        f"<div><article>{words}</article><article>{words * 2}</article></div>",
+        f"<h1>Title</h1><main>{words}</main>",
+    ):
+        page = f"<html><body>{page}</body></html>"
+        assert html_main.extract(page, []) == " ".join(re.sub("<[^>]*>", " ", page).split()), page
+    page = f"<body><div id='left'>others</div><div><main><h1>Title</h1>{words}</main></div></body>"
+    assert html_main.extract(page, []) == f"Title {words}".strip()
+
+
+def test_hosts_don_t_cut_articles(spark):
+    """A winning path that holds a small part of a page isn't its article, unless the host leaves out the rest elsewhere."""
+    lists, words = "point of a list " * 30, "text of a story " * 30
+    rows = [(i, f"http://h.example/{i}", f"<html><body><div class='list'>{lists}</div></body></html>", "x", "y", "z") for i in range(20)]
+    rows.append((99, "http://h.example/99", f"<html><body><div class='story'>{words * 3}</div><div class='list'>{lists}</div></body></html>", "x", "y", "z"))
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[0] == lists.strip() and got[99] == f"{words * 3}{lists}".strip()

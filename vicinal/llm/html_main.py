@@ -3,13 +3,19 @@
 1. Each page is read once as a stream of tags and text (malformed markup closes what it has to).
    Text in elements that are never the article (menus, footers, asides, forms, scripts, ...), or
    whose class, id or role names such a part, is dropped. The rest counts for the containers
-   around it, text in links not at all. From the root the best container is the deepest that
-   still holds SHARE of its parent's text; named article containers need half of that.
+   around it, text in links not at all. From the root the best container is found by steps into
+   a child, as long as nothing beside the child is article content: no text of the parent's own,
+   no heading that could be the title, no container named like an article, and at most 1 - SHARE
+   of the parent's text. An article or main that is the only one, holds half of the text and has
+   no higher heading beside it is stepped into as well; nothing within it is. Lists, tables,
+   quotes and figures are never stepped into.
 2. Its path of tags and classes, with digits generalised, gets a vote of the page. Votes are
    summed by (host, path) in Spark; the winners are each host's best paths, at most `paths`, with
-   a tenth of the best one's votes or more.
-3. Each page is read again: all containers with the first winning path that the page has give the
-   text. A page without any falls back on its own best container.
+   a tenth of the best one's votes or more. The paths beside the way to a winner on half or more
+   of the pages that voted for it are known to lie outside of the article.
+3. Each page is read again: all containers with the first winning path that the page has, and
+   that holds SHARE of what isn't known to lie outside, give the text. A page without any falls
+   back on its own best container.
 
 White space inside a block becomes one space, blocks are joined by one space in page order; br
 and block tags part words, inline tags don't. Character references are decoded once. A null or
@@ -30,7 +36,7 @@ from pyspark.sql.window import Window
 
 from .shared import map_batches, materialize
 
-SHARE = 0.6
+SHARE = 0.9
 MOST_BROADCAST = 200_000
 
 _PART = re.compile(
@@ -42,6 +48,8 @@ _PART = re.compile(
 )
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
+_WORD = re.compile(r"\w")
+
 CONTAINERS = frozenset("html body main article section div nav header footer aside form ul ol dl table tbody thead tfoot tr td th blockquote figure fieldset details center".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address figcaption caption legend summary hgroup br option".split())
 DROPPED = frozenset("nav footer aside form head dialog menu".split())
@@ -52,14 +60,19 @@ NAMED = frozenset(
     "search login complementary contentinfo alert paywall skip tags".split()
 )
 HEADS = frozenset({"header", "masthead", "topbar"})
+#: Parts of an article at most.
+PARTS = frozenset("ul ol dl table tbody thead tfoot tr td th blockquote figure".split())
+NO_HEADING = 7
 GOOD = frozenset("article content main post entry story body text".split())
 
 
 class _Node:
-    __slots__ = ("chars", "children", "good", "parent", "path", "tag")
+    __slots__ = ("chars", "children", "good", "heading", "main", "own_heading", "parent", "path", "tag")
 
     def __init__(self, tag: str, path: str, parent, good: bool):
         self.tag, self.path, self.parent, self.good, self.chars, self.children = tag, path, parent, good, 0, []
+        # characters in article and main, and the highest headings within and outside of children
+        self.main, self.heading, self.own_heading = 0, NO_HEADING, NO_HEADING
         if parent is not None:
             parent.children.append(self)
 
@@ -74,22 +87,27 @@ def read(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
     stack, dropped, in_article = [root], [], 0
     blocks: list[tuple[_Node, str]] = []
     block: list[str] = []
-    link = False
+    link, rank = False, NO_HEADING
 
     def end_block() -> None:
         if block:
             text = " ".join(html_lib.unescape("".join(block)).split())
             if text:
                 blocks.append((stack[-1], text))
+                if rank < NO_HEADING:
+                    stack[-1].own_heading = min(stack[-1].own_heading, rank)
+                    for node in stack:
+                        node.heading = min(node.heading, rank)
             block.clear()
 
     def add(text: str) -> None:
         if text and not dropped:
             block.append(text)
             if not link:
-                n = len(text.strip())
+                n = len(text.strip()) if _WORD.search(text) else 0
                 for node in stack:
                     node.chars += n
+                    node.main += n if in_article else 0
 
     at = 0
     for m in _PART.finditer(page):
@@ -110,6 +128,7 @@ def read(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
             continue
         end_block()
         link = False
+        rank = int(tag[1]) if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() and not m["close"] else NO_HEADING
         if tag not in CONTAINERS and tag not in DROPPED:
             continue
         if m["close"]:
@@ -151,14 +170,32 @@ def read(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
 
 def best(root: _Node) -> _Node:
     node = root
-    while node.children:
-        child = max(node.children, key=lambda x: x.chars * (2 if x.good else 1))
-        if child.chars < node.chars * SHARE * (0.5 if child.good else 1) or not child.chars:
+    while node.children and node.chars and node.tag not in ("article", "main"):
+        child = max(node.children, key=lambda x: (x.main > 0, x.chars))
+        others = [x for x in node.children if x is not child]
+        heading = min([node.own_heading, *(x.heading for x in others)])
+        if child.tag in PARTS:
             break
+        if node.main:
+            if child.main * 2 < node.chars or heading < child.heading or any(x.main for x in others):
+                break
+        else:
+            own = node.chars - sum(x.chars for x in node.children)
+            if own or child.chars < node.chars * SHARE or (heading < NO_HEADING and heading <= child.heading) or any(x.good and x.chars for x in others):
+                break
         node = child
     return node
 
 
+def _beside(node: _Node) -> set[str]:
+    """The paths of containers with text beside the way from the root to node."""
+    out, own = set(), node.path
+    while node.parent is not None:
+        out |= {x.path for x in node.parent.children if x is not node and x.chars and x.path != node.path}
+        node = node.parent
+    return out - {own}
+
+
 def _inside(node: _Node, paths: set[int]) -> bool:
     while node is not None:
         if id(node) in paths:
@@ -167,21 +204,25 @@ def _inside(node: _Node, paths: set[int]) -> bool:
     return False
 
 
-def extract(page: str, winners: list[str]) -> str:
+def extract(page: str, winners: list[str], beside: list[list[str]] | None = None) -> str:
+    """The text of the first winner that holds the page's article; beside: for each winner, the paths known to lie outside."""
     root, blocks = read(page)
-    chosen: list[_Node] = []
-    for path in winners:
-        todo = [root]
+    for path, others in zip(winners, beside or [[]] * len(winners), strict=True):
+        chosen, held, left, todo = set(), 0, 0, [root]
         while todo:
             node = todo.pop()
             if node.path == path:
-                chosen.append(node)
-            elif path.startswith(node.path):
+                chosen.add(id(node))
+                held += node.chars
+            elif path.startswith(node.path + ">") or node.path not in others:
+                left += node.chars - sum(x.chars for x in node.children)
                 todo += node.children
-        if chosen:
-            break
-    keys = {id(x) for x in chosen or [best(root)]}
-    return " ".join(text for node, text in blocks if _inside(node, keys))
+        if chosen and held >= SHARE * (held + left):
+            texts = [text for node, text in blocks if _inside(node, chosen)]
+            if texts:
+                return " ".join(texts)
+    own = {id(best(root))}
+    return " ".join(text for node, text in blocks if _inside(node, own))
 
 
 def host_of(url: Column) -> Column:
@@ -189,7 +230,7 @@ def host_of(url: Column) -> Column:
 
 
 def winning_paths(pages: DataFrame, paths: int = 3) -> DataFrame:
-    """voted_host and winners (paths, best first) from pages (url, html)."""
+    """voted_host, winners (paths, best first) and beside (for each the paths known to lie outside) from pages (url, html)."""
 
     def vote(batches):
         for batch in batches:
@@ -198,26 +239,35 @@ def winning_paths(pages: DataFrame, paths: int = 3) -> DataFrame:
                 if page:
                     root, blocks = read(page)
                     if blocks:
-                        votes[host, best(root).path] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.string()), pa.array(votes.values(), pa.int64())], ["voted_host", "path", "votes"])
-
-    counted = map_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), vote, "voted_host string, path string, votes long").groupBy("voted_host", "path").agg(F.sum("votes").alias("votes"))
+                        node = best(root)
+                        votes[host, node.path, None] += 1
+                        for other in _beside(node):
+                            votes[host, node.path, other] += 1
+            columns = [pa.array([k[i] for k in votes], pa.string()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(votes.values(), pa.int64())], ["voted_host", "path", "other", "votes"])
+
+    counted = map_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), vote, "voted_host string, path string, other string, votes long").groupBy("voted_host", "path", "other").agg(F.sum("votes").alias("n"))
+    # others that half of a path's pages have are few, however many there are in all
+    counted = counted.withColumn("votes", F.max(F.when(F.col("other").isNull(), F.col("n"))).over(Window.partitionBy("voted_host", "path"))).where(F.col("other").isNull() | (F.col("n") * 2 >= F.col("votes")))
+    counted = counted.groupBy("voted_host", "path").agg(F.max("votes").alias("votes"), F.collect_list("other").alias("beside"))
     of_host = Window.partitionBy("voted_host")
     ranked = counted.withColumn("place", F.row_number().over(of_host.orderBy(F.desc("votes"), "path"))).where(F.col("place") <= paths)
-    listed = ranked.groupBy("voted_host").agg(F.sort_array(F.collect_list(F.struct("place", "path", "votes"))).alias("all"))
-    return listed.select("voted_host", F.transform(F.filter("all", lambda x: x["votes"] * 10 >= F.col("all")[0]["votes"]), lambda x: x["path"]).alias("winners"))
+    listed = ranked.groupBy("voted_host").agg(F.sort_array(F.collect_list(F.struct("place", "path", "votes", "beside"))).alias("all"))
+    listed = listed.select("voted_host", F.filter("all", lambda x: x["votes"] * 10 >= F.col("all")[0]["votes"]).alias("all"))
+    return listed.select("voted_host", F.transform("all", lambda x: x["path"]).alias("winners"), F.transform("all", lambda x: x["beside"]).alias("beside"))
 
 
 def main_text(pages: DataFrame, paths: int = 3) -> DataFrame:
     """page_id, url, text and n_chars for each row of pages (page_id, url, html)."""
     winners = materialize(winning_paths(pages, paths), "html-winners")
-    small = winners.count() <= MOST_BROADCAST
+    small = (winners.agg(F.sum(1 + F.size(F.flatten("beside")))).first()[0] or 0) <= MOST_BROADCAST
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    rows = rows.join(F.broadcast(winners) if small else winners, F.col("host") == F.col("voted_host"), "left").select("page_id", "url", "html", "winners")
+    rows = rows.join(F.broadcast(winners) if small else winners, F.col("host") == F.col("voted_host"), "left").select("page_id", "url", "html", "winners", "beside")
 
     def run(batches):
         for batch in batches:
-            texts = [extract(page, won or []) if page else "" for page, won in zip(batch.column("html").to_pylist(), batch.column("winners").to_pylist(), strict=True)]
+            columns = (batch.column(c).to_pylist() for c in ("html", "winners", "beside"))
+            texts = [extract(page, won or [], beside) if page else "" for page, won, beside in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

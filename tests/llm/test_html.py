@@ -89,3 +89,21 @@ def test_hosts_don_t_cut_articles(spark):
     rows.append((99, "http://h.example/99", f"<html><body><div class='story'>{words * 3}</div><div class='list'>{lists}</div></body></html>", "x", "y", "z"))
     got = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(rows, PAGES)).collect()}
     assert got[0] == lists.strip() and got[99] == f"{words * 3}{lists}".strip()
+
+
+def test_names_of_wrappers_don_t_drop_the_article():
+    words = "some words of it " * 20
+    for page in (
+        f"<div class='content-sidebar-wrap'><main>{words}</main><div class='sidebar'>others</div></div>",
+        f"<div class='page has-sidebar'><div>{words}</div></div>",
+        f"<section class='post category-social'>{words}</section>",
+        f"<div class='masthead-layout'><main>{words}</main></div>",
+        f"<main><svg viewBox='0'/>{words}<math />",
+        f"<div class='related'>{words}</div>",
+    ):
+        assert html_main.extract(f"<html><body>{page}</body></html>", []) == words.strip(), page
+    # where the article is elsewhere names count as before
+    page = f"<body><article>{words}</article><div class='comments'>{words * 3}</div><div class='related'><article>{words}</article></div></body>"
+    assert html_main.extract(page, []) == words.strip()
+    assert html_main.extract("<p>a<svg><path/>no</svg>b", []) == "ab"
+    assert html_main.extract("<div class='ad'>only</div>", []) == "only" and html_main.extract("<nav>only</nav>", []) == ""

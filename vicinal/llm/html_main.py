@@ -1,8 +1,9 @@
 """Main text of web pages by consensus of their hosts.
 
 1. Each page is read once as a stream of tags and text (malformed markup closes what it has to).
-   Text in elements that are never the article (menus, footers, asides, forms, scripts, ...), or
-   whose class, id or role names such a part, is dropped. The rest counts for the containers
+   Text in elements that are never the article (menus, footers, asides, forms, scripts, ...) is
+   dropped, and so is that of containers whose class, id or role names such a part, unless they
+   hold most of the page's text or an article (see _kept), or nothing else is left. The rest counts for the containers
    around it, text in links not at all. From the root the best container is found by steps into
    a child, as long as nothing beside the child is article content: no text of the parent's own,
    no heading that could be the title, no container named like an article, and at most 1 - SHARE
@@ -41,6 +42,7 @@ MOST_BROADCAST = 200_000
 
 _PART = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
+    r"|<(?:svg|math)\b[^>]*+(?<=/)>"
     r"|<(?P<raw>script|style|title|textarea|noscript|template|svg|math|iframe|object|select|button|noframes|xmp)\b[^>]*+(?:>.*?(?:</(?P=raw)\b[^>]*+(?:>|\Z)|\Z)|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
     r"|<[a-zA-Z/!?][^>]*+(?:>|\Z)",
@@ -63,16 +65,22 @@ HEADS = frozenset({"header", "masthead", "topbar"})
 #: Parts of an article at most.
 PARTS = frozenset("ul ol dl table tbody thead tfoot tr td th blockquote figure".split())
 NO_HEADING = 7
+#: Names of parts that may be longer than the article.
+TALK = frozenset("comment comments respond replies disqus related recommended".split())
 GOOD = frozenset("article content main post entry story body text".split())
 
 
 class _Node:
-    __slots__ = ("chars", "children", "good", "heading", "main", "own_heading", "parent", "path", "tag")
+    __slots__ = ("all_chars", "all_main", "chars", "children", "dropped", "good", "heading", "main", "named", "own_heading", "parent", "path", "tag")
 
     def __init__(self, tag: str, path: str, parent, good: bool):
-        self.tag, self.path, self.parent, self.good, self.chars, self.children = tag, path, parent, good, 0, []
-        # characters in article and main, and the highest headings within and outside of children
-        self.main, self.heading, self.own_heading = 0, NO_HEADING, NO_HEADING
+        self.tag, self.path, self.parent, self.good, self.children = tag, path, parent, good, []
+        # the names for which the container is dropped if it isn't the article, and whether it is
+        self.named, self.dropped = frozenset(), False
+        # characters, those in article and main, each with and without what is dropped for its name
+        self.chars = self.main = self.all_chars = self.all_main = 0
+        # the highest headings within and outside of children
+        self.heading = self.own_heading = NO_HEADING
         if parent is not None:
             parent.children.append(self)
 
@@ -81,33 +89,39 @@ def _words(x: str) -> list[str]:
     return [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", x).lower()) if w]
 
 
+def _kept(node: _Node, total: int, elsewhere: int) -> bool:
+    """Whether a container stays though its name is another part's: it holds most of the page's text, or an article and there is next to none elsewhere."""
+    most = node.all_chars * 2 > total
+    if elsewhere * 10 >= node.all_chars:
+        return most and TALK.isdisjoint(node.named)
+    return most or node.all_main > 0
+
+
 def read(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
     """The tree of containers, and the kept blocks' texts with their containers, in order."""
     root = _Node("", "", None, False)
     stack, dropped, in_article = [root], [], 0
-    blocks: list[tuple[_Node, str]] = []
+    blocks: list[tuple[_Node, str, int, int, int]] = []
     block: list[str] = []
-    link, rank = False, NO_HEADING
+    link, rank, chars, main = False, NO_HEADING, 0, 0
 
     def end_block() -> None:
+        nonlocal chars, main
         if block:
             text = " ".join(html_lib.unescape("".join(block)).split())
             if text:
-                blocks.append((stack[-1], text))
-                if rank < NO_HEADING:
-                    stack[-1].own_heading = min(stack[-1].own_heading, rank)
-                    for node in stack:
-                        node.heading = min(node.heading, rank)
+                blocks.append((stack[-1], text, chars, main, rank))
             block.clear()
+        chars = main = 0
 
     def add(text: str) -> None:
+        nonlocal chars, main
         if text and not dropped:
             block.append(text)
-            if not link:
-                n = len(text.strip()) if _WORD.search(text) else 0
-                for node in stack:
-                    node.chars += n
-                    node.main += n if in_article else 0
+            if not link and _WORD.search(text):
+                n = len(text.strip())
+                chars += n
+                main += n if in_article else 0
 
     at = 0
     for m in _PART.finditer(page):
@@ -159,13 +173,56 @@ def read(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
         label = re.sub(r"\d+", "#", ".".join([tag, *sorted(set(classes))]))
         node = _Node(tag, f"{stack[-1].path}>{label}", stack[-1], tag in ("article", "main") or not GOOD.isdisjoint(names))
         stack.append(node)
-        head = tag == "header" or (tag != "body" and not HEADS.isdisjoint(names))
-        if hidden or tag in DROPPED or (tag not in ("html", "body", "main", "article") and not NAMED.isdisjoint(names)) or (tag == "article" and {"comment", "related", "ad"} & set(names)) or (head and not in_article):
+        if tag not in ("html", "body", "main", "article"):
+            node.named = NAMED & set(names)
+        elif tag == "article":
+            node.named = {"comment", "related", "ad"} & set(names)
+        if tag not in ("body", "header") and not in_article:
+            node.named |= HEADS & set(names)
+        if hidden or tag in DROPPED or (tag == "header" and not in_article):
             dropped.append(len(stack) - 1)
         in_article += tag in ("article", "main")
     add(page[at:])
     end_block()
-    return root, blocks
+    return root, _judged(root, blocks)
+
+
+def _judged(root: _Node, blocks: list[tuple[_Node, str, int, int, int]]) -> list[tuple[_Node, str]]:
+    """The blocks that aren't dropped for a name, of blocks (container, text, characters, those in article and main, heading); counts them for their containers."""
+    elsewhere = 0
+    for node, _, chars, main, _ in blocks:
+        inside_named = False
+        while node is not None:
+            if node.named:
+                inside_named = True
+                # an article with another part's name keeps no containers
+                main = 0 if node.tag == "article" else main
+            node.all_chars += chars
+            node.all_main += main
+            node = node.parent
+        elsewhere += 0 if inside_named else main
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        node.dropped = bool(node.named) and not _kept(node, root.all_chars, elsewhere)
+        todo += [] if node.dropped else node.children
+    kept = [x for x in blocks if not _is_dropped(x[0])] or blocks
+    for node, _, chars, main, rank in kept:
+        node.own_heading = min(node.own_heading, rank)
+        while node is not None:
+            node.chars += chars
+            node.main += main
+            node.heading = min(node.heading, rank)
+            node = node.parent
+    return [x[:2] for x in kept]
+
+
+def _is_dropped(node: _Node) -> bool:
+    while node is not None:
+        if node.dropped:
+            return True
+        node = node.parent
+    return False
 
 
 def best(root: _Node) -> _Node:
@@ -191,7 +248,7 @@ def _beside(node: _Node) -> set[str]:
     """The paths of containers with text beside the way from the root to node."""
     out, own = set(), node.path
     while node.parent is not None:
-        out |= {x.path for x in node.parent.children if x is not node and x.chars and x.path != node.path}
+        out |= {x.path for x in node.parent.children if x is not node and x.all_chars and x.path != node.path}
         node = node.parent
     return out - {own}
 

@@ -165,3 +165,13 @@ def test_odd_documents(spark, odd, none):
     assert omh.classes(none).count() == 0 and omh.without_near_copies(none).count() == 0
     only_words = documents(spark, [(i, "x y", None, None, 3) for i in range(3)] + [(9, "x  y", None, None, 4)])
     assert {r["class_id"] for r in omh.classes(only_words).collect()} == {0}
+
+
+def test_ids_with_several_texts(spark):
+    """Each class keeps one row, whatever ids repeat."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(3, a), (7, a), (7, b), (8, b), (9, b + " more"), (20, c), (20, d), (20, d), (21, None), (21, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(omh.without_near_copies(docs).collect(), key=str)
+    assert kept == sorted([(3, a), (7, b), (20, c), (20, d), (21, None), (21, "x")], key=str)
+    assert sorted((r["doc_id"], r["class_id"]) for r in omh.classes(docs).collect()) == [(3, 3), (7, 3), (7, 7), (8, 7), (9, 7), (20, 20), (20, 20), (20, 20), (21, 21), (21, 21)]

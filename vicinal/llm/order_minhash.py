@@ -23,7 +23,8 @@
 5. Connected components of the links, by repeated least-neighbour steps, are the classes.
 
 Null texts belong to no group: each is its own class. Texts without a word are near only to equal
-texts. Rows with a null id keep a null class. Repeated rows of an id share its class. Hot groups
+texts. Rows with a null id keep a null class. Classes are of texts: an id that occurs with several
+texts has the class of each. Hot groups
 are counted with partial sums, joins on them can be split, and every round is written to the
 shared folder.
 """
@@ -311,12 +312,12 @@ def _near(order, rank, root, counts, starts, name, often, first, posts, least):
 
 
 def verified(clusters: DataFrame, docs: DataFrame, least: float, block_rows: int, block_bytes: int) -> DataFrame:
-    """Links (a, b) that connect all links, from clusters (id, cluster, bytes) and docs (doc_id, text). Of docs, those outside any cluster are left where they are."""
+    """Links (a, b) that connect all links, from clusters (id, cluster, bytes, exact_id, text_key) and docs (doc_id, text). Of docs, those outside any cluster are left where they are."""
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes")).withColumnRenamed("cluster", "c")
     parts = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("all_bytes") / block_bytes))
-    dealt = _dealt(clusters.join(sizes, F.col("cluster") == F.col("c")).withColumn("parts", parts), True).select("cluster", "block", "id")
-    texts = perhaps(docs, "doc_id", filter_words(clusters, "id"), True).select("doc_id", "text")
-    rows = dealt.join(texts, F.col("id") == F.col("doc_id")).select("cluster", "block", "id", "text")
+    dealt = _dealt(clusters.join(sizes, F.col("cluster") == F.col("c")).withColumn("parts", parts), True).select("cluster", "block", "id", "exact_id", "text_key")
+    texts = perhaps(docs, "doc_id", filter_words(clusters, "exact_id"), True).select("doc_id", "text", F.md5("text").alias("of_text"))
+    rows = dealt.join(texts, (F.col("exact_id") == F.col("doc_id")) & (F.col("text_key") == F.col("of_text"))).select("cluster", "block", "id", "text")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -375,31 +376,44 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
-def classes(docs: DataFrame, least: float = 0.8, least_equal: int = 14, band_rows: int = 4_096, block_rows: int = 1_024, block_bytes: int = 1 << 23) -> DataFrame:
-    """doc_id, class_id (the least id of its class) and exact_id (the least id with an equal text) for each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _judged(docs: DataFrame, least: float = 0.8, least_equal: int = 14, band_rows: int = 4_096, block_rows: int = 1_024, block_bytes: int = 1 << 23) -> DataFrame:
+    """doc_id, text_key, class_id, exact_id and leads (whether the text stands for its class) for each row of docs (doc_id, text) with an id."""
     some = docs.where("doc_id is not null")
     light = materialize(sketched(some), "omh-sketches")
     # equal texts have equal sketches, so any one does
-    groups = light.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.any_value("bytes").alias("bytes"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
-    groups = materialize(groups, "omh-groups")
+    groups = light.groupBy("text_key").agg(F.min("doc_id").alias("exact_id"), F.any_value("bytes").alias("bytes"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
+    # numbers of their own, for an id may occur with several texts
+    groups = materialize(groups.withColumn("id", F.monotonically_increasing_id()), "omh-groups")
     pairs = candidates(groups.where("keys is not null").select("id", "keys", "sketch"), least_equal, band_rows)
     clusters = components(pairs)
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
-    clusters = materialize(clusters.join(groups.select("id", "bytes"), F.col("node") == F.col("id")).select("id", F.col("root").alias("cluster"), "bytes"), "omh-clusters")
+    clusters = materialize(clusters.join(groups, F.col("node") == F.col("id")).select("id", F.col("root").alias("cluster"), "bytes", "exact_id", "text_key"), "omh-clusters")
     roots = components(materialize(verified(clusters, some, least, block_rows, block_bytes), "omh-verified"))
-    named = groups.select("text_key", F.col("id").alias("exact_id")).join(roots, F.col("exact_id") == F.col("node"), "left")
-    named = named.select(F.col("text_key").alias("k"), "exact_id", F.coalesce("root", "exact_id").alias("class_id"))
-    named = light.select("doc_id", "text_key").join(named, F.col("text_key") == F.col("k")).select("doc_id", "class_id", "exact_id")
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    roots = materialize(roots.join(clusters, F.col("node") == F.col("id")).select("root", "exact_id", "text_key"), "omh-members")
+    # the text with the least id stands for its class
+    first = roots.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("exact_id", "text_key")).alias("first"))
+    roots = roots.join(first, F.col("root") == F.col("r")).select(F.col("text_key").alias("t"), "first")
+    named = groups.select("text_key", "exact_id").join(roots, F.col("text_key") == F.col("t"), "left")
+    named = named.select(F.col("text_key").alias("k"), "exact_id", F.coalesce("first.exact_id", "exact_id").alias("class_id"), F.coalesce(F.col("first.text_key") == F.col("text_key"), F.lit(True)).alias("leads"))
+    return light.select("doc_id", "text_key").join(named, F.col("text_key") == F.col("k")).select("doc_id", "text_key", "class_id", "exact_id", "leads")
+
+
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id (the least id of its class) and exact_id (the least id with an equal text) for each row of docs (doc_id, text). Options are those of _judged."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = _judged(docs, **options).select("doc_id", "class_id", "exact_id")
     return named.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("exact_id")))
 
 
 def without_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, one for each class: that with the class's id. Rows without an id stay; of rows that share an id one stays. Rows that surely stay aren't shuffled."""
-    named = materialize(classes(docs, **options).where("doc_id is not null"), "omh-classes")
-    judged = named.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n")).where("n > 1 or doc_id <> class_id")
-    judged = materialize(judged.select(F.col("doc_id").alias("__id"), (F.col("doc_id") == F.col("class_id")).alias("__stays")), "omh-judged")
+    """The rows of docs, all columns, one for each class: that with the class's id (and the text that stands for it, where the id has several). Rows without an id stay. Rows that surely stay aren't shuffled."""
+    named = _judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), **options)
+    named = materialize(named.select("doc_id", "text_key", (F.col("leads") & (F.col("doc_id") == F.col("exact_id"))).alias("stays")), "omh-classes")
+    judged = named.groupBy("doc_id", "text_key").agg(F.any_value("stays").alias("__stays"), F.count("*").alias("n")).where("n > 1 or not __stays")
+    judged = materialize(judged.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__stays"), "omh-judged")
     words = filter_words(judged, "__id")
-    doubtful = perhaps(docs, "doc_id", words, True).join(judged, F.col("doc_id") == F.col("__id"), "left")
-    settled = doubtful.where("__stays is null").select(*docs.columns).unionByName(doubtful.where("__stays").select(*docs.columns).dropDuplicates(["doc_id"]))
+    doubtful = perhaps(docs, "doc_id", words, True).withColumn("__of_text", F.coalesce(F.md5("text"), F.concat(F.lit("null:"), F.col("doc_id").cast("long").cast("string"))))
+    doubtful = doubtful.join(judged, (F.col("doc_id") == F.col("__id")) & (F.col("__of_text") == F.col("__key")), "left")
+    settled = doubtful.where("__stays is null").select(*docs.columns).unionByName(doubtful.where("__stays").dropDuplicates(["__id", "__key"]).select(*docs.columns))
     return perhaps(docs, "doc_id", words, False).unionByName(settled)

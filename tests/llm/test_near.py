@@ -175,3 +175,19 @@ def test_ids_with_several_texts(spark):
     kept = sorted(omh.without_near_copies(docs).collect(), key=str)
     assert kept == sorted([(3, a), (7, b), (20, c), (20, d), (21, None), (21, "x")], key=str)
     assert sorted((r["doc_id"], r["class_id"]) for r in omh.classes(docs).collect()) == [(3, 3), (7, 3), (7, 7), (8, 7), (9, 7), (20, 20), (20, 20), (20, 20), (21, 21), (21, 21)]
+
+
+def test_candidates_of_split_bands_are_whole(spark):
+    """Texts whose only neighbour in another block isn't among those that a group sends on."""
+    rng = np.random.default_rng(3)
+    hub = rng.integers(0, 1 << 16, omh.ENTRIES)
+    rows = [(i, [1], hub) for i in range(100)]
+    for k in range(20):
+        x, y = rng.integers(0, 1 << 16, (2, omh.ENTRIES))
+        x[:14] = hub[:14]
+        y[14:28] = x[14:28]
+        rows += [(200 + k, [1], x), (300 + k, [1], y)]
+    rows.append((400, [1], rng.integers(0, 1 << 16, omh.ENTRIES)))
+    groups = spark.createDataFrame([(i, k, bytearray(s.astype("<u2").tobytes())) for i, k, s in rows], "id long, keys array<long>, sketch binary")
+    got = {r["node"]: r["root"] for r in omh.components(omh.candidates(groups, 14, 32)).collect()}
+    assert got == {i: 0 for i, _, _ in rows if i not in (0, 400)}

@@ -11,7 +11,8 @@
    (chance 5e-5 to miss similarity 0.8). Within a band every text of a connected group of candidates
    is paired with the group's least id only. Bands are split into blocks of at most `band_rows` texts;
    some texts of every connected group of a block meet those of the others in a next round, until
-   one block holds them; if their number doesn't fall, all pairs of blocks are compared.
+   one block holds them; if their number doesn't fall, all pairs of blocks are compared. Of split
+   bands, all texts outside the largest component so far are then compared with all texts.
 4. Connected components of the candidates are clusters, which hold every link. A cluster's texts
    come together once, in blocks of bounded rows and bytes; a cluster of more than one block has
    every pair of its blocks compared. Within a block the common labelled k-mers of all texts are
@@ -199,7 +200,7 @@ def candidates(groups: DataFrame, least_equal: int, band_rows: int) -> DataFrame
     """Pairs of candidates that connect all candidates, from rows (id, keys, sketch)."""
     sketch = groups.select(F.col("id").alias("i"), "sketch")
     rows = groups.select(F.explode("keys").alias("key"), "id")
-    pairs, before, every_pair = None, None, False
+    pairs, before, every_pair, split = None, None, False, None
     while True:
         shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
         dealt = rows.join(shared, F.col("key") == F.col("k"))
@@ -210,12 +211,34 @@ def candidates(groups: DataFrame, least_equal: int, band_rows: int) -> DataFrame
         pairs = part if pairs is None else pairs.unionByName(part)
         rows = out.where("leads").select("key", F.col("a").alias("id"))
         left = 0 if every_pair else rows.count()
+        if left and split is None:
+            split = rows.select(F.col("key").alias("k")).distinct()
         if not left:
-            return pairs.distinct()
+            return pairs.distinct() if split is None else _with_rest(groups, pairs.distinct(), split, least_equal, band_rows)
         # while those sent on become fewer they meet in blocks again; else every pair of blocks is compared
         every_pair, before = before is not None and left > 0.8 * before, left
 
 
+def _with_rest(groups: DataFrame, pairs: DataFrame, split: DataFrame, least_equal: int, band_rows: int) -> DataFrame:
+    """Pairs that connect what pairs do, and all candidates of the bands in split (k): texts outside a band's largest component meet all its texts."""
+    known = components(pairs)
+    rows = groups.select(F.explode("keys").alias("key"), "id").join(split, F.col("key") == F.col("k"), "left_semi")
+    rows = rows.join(known, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("of"))
+    rows = materialize(rows, "omh-split")
+    sizes = rows.groupBy("key", "of").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("n"), F.max(F.struct("n", "of")).alias("top")).where("n > top.n")
+    half = max(1, band_rows // 2)
+    sizes = sizes.select("k", F.col("top.of").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / half).alias("few"), F.ceil(F.col("n") / half).alias("all"))
+    rows = rows.join(sizes, F.col("key") == F.col("k"))
+    one = F.pmod(F.xxhash64("id", "key"), F.col("few"))
+    other = F.pmod(F.xxhash64("id", "key"), F.col("all"))
+    rest = rows.where("of <> top").withColumn("x", one).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)))
+    every = rows.withColumn("y", other).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few") - 1)))
+    dealt = rest.select("key", "id", "all", "x", "y").unionByName(every.select("key", "id", "all", "x", "y")).withColumn("block", -2 - (F.col("x") * F.col("all") + F.col("y")))
+    dealt = dealt.join(groups.select(F.col("id").alias("i"), "sketch"), F.col("id") == F.col("i")).select("key", "block", "id", "sketch")
+    more = materialize(_blocks(dealt, least_equal), "omh-rest").select("a", "b")
+    return known.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more).distinct()
+
+
 def _dealt(rows: DataFrame, every_pair: bool, *salt) -> DataFrame:
     """rows (id, parts, ...) with block: -1 where one holds all, else a number from 0, or below -1 for pairs of blocks."""
     rows = rows.withColumn("place", F.pmod(F.xxhash64("id", *salt), F.col("parts")))

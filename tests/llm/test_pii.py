@@ -97,3 +97,10 @@ def test_odd_documents(spark, odd, none):
     assert pii_crf.find(none).count() == 0 and pii_crf.redact(none).count() == 0
     one = spark.createDataFrame([(1, "write x@y.zz or +1 (323) 555-9830.", 34), (2, None, None)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in pii_crf.redact(one).orderBy("doc_id").collect()] == [(1, "write <EMAIL> or <PHONE>.", 25), (2, None, None)]
+
+
+def test_written_out_addresses_in_any_case():
+    for text in ("write to kim at example dot org today", "mail to kim (AT) example (DOT) com today"):
+        (spans,) = pii_crf.added_spans([text], [[]])
+        assert [s[2] for s in spans] == ["email"], (text, spans)
+    assert pii_crf.added_spans(["We met at noon and saw the dot."], [[]]) == [[]]

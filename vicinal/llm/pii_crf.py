@@ -6,8 +6,9 @@ pattern is searched leftmost and without overlap, in time linear in the text.
 The field labels tokens (runs of letters and digits, single signs) with begin, inside and outside
 of a kind from features of their shapes and a few cue words around them. It is trained on the
 small table LABELLED, by gradient ascent on the penalised likelihood, and decoded by Viterbi over
-batches of sequences of like length. Sequences are the stretches of text around digits, @ and
-bracketed "at": tokens more than CONTEXT characters from all of these are outside by definition
+batches of sequences of like length. Sequences are the stretches of text around digits, @, "at"
+in brackets, "at ... dot" and seven colons between short words, in any case: what LABELLED shows
+has one of these. Tokens more than CONTEXT characters from all of these are outside by definition
 of the model. Its spans are kept if they overlap no base span and have the digits that their kind
 needs. They add formats which the patterns don't have: national telephone numbers, addresses with
 a written-out at, address numbers in hexadecimal, cards of 13 digits, and numbers of persons and
@@ -97,6 +98,9 @@ contact {email:sales[at]example.com} for it
 {email:max (at) beispiel.de} schreiben
 server {ip:2001:db8:85a3:0:0:8a2e:370:7334} answered
 host {ip:fe80:0:0:0:204:61ff:fe9d:f156} is down
+write to {email:jane at example dot com} soon
+mail {email:max at beispiel dot de} bitte
+met at noon by the dot on it
 card {card:4222222222222} expires
 Visa {card:4917610000003} was charged
 SSN {id:123-45-6789} on file
@@ -145,7 +149,7 @@ CUES = frozenset("call tel telefon phone téléphone teléfono fax mobile mobil
 CONTEXT = 48
 LABELS = ("O", *(f"{p}-{k}" for k in ADDED for p in "BI"))
 _TOKEN = re.compile(r"[^\W_]+|[^\s\w]|_")
-_TRIGGER = re.compile(r"[0-9@]+|[(\[{] ?at ?[)\]}]")
+_TRIGGER = re.compile(r"[0-9@]+|[(\[{] ?at ?[)\]}]|\bat [\w-]{1,63} dot \w|\b(?:[a-f]{1,4}:){7}", re.I)
 
 
 def _shape(token: str) -> str:
@@ -155,7 +159,7 @@ def _shape(token: str) -> str:
         return token
     if any(c.isdigit() for c in token):
         return ("h" if all(c in "0123456789abcdef" for c in token) else "A" if token.upper() == token else "a") + str(min(len(token), 24) if len(token) <= 6 else 4 * (min(len(token), 24) // 4))
-    return "at" if token == "at" else "dot" if token == "dot" else "X" if token.isupper() else "Xx" if token[0].isupper() else "x"
+    return "at" if token.lower() == "at" else "dot" if token.lower() == "dot" else "X" if token.isupper() else "Xx" if token[0].isupper() else "x"
 
 
 def _features(text: str, tokens: list[re.Match]) -> list[list[str]]:
@@ -332,7 +336,7 @@ def _fits(kind: str, text: str) -> bool:
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "email":
-        return "." in text or "dot" in text
+        return "." in text or "dot" in text.lower()
     if kind == "ip":
         return text.count(":") == 7
     return len(digits) >= 4 and 8 <= sum(c.isalnum() for c in text) <= 34

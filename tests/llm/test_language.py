@@ -67,3 +67,17 @@ def test_nothing(spark, odd, none):
     model = language.fit(none)
     assert language.predict(none, model).count() == 0
     assert {r["lang_pred"] for r in language.predict(odd, model).collect()} == {"und"}
+
+
+def test_sets_of_many_languages():
+    """Ten languages with clear words of their own are all found, and stopping early changes nothing."""
+    ll = np.full((12, 1000), -20, np.float32)
+    ll[np.arange(1000) % 10, np.arange(1000)] = -1
+    share, _ = language._mixtures(ll, np.array([1000]), 8)
+    assert np.allclose(share[:10, 0], 0.1, atol=0.01) and (share[10:, 0] == 0).all()
+    rng = np.random.default_rng(4)
+    ll, words = rng.normal(0, 3, (12, 300)).astype(np.float32), np.array([100, 200])
+    share, value = language._mixtures(ll, words, 8)
+    for d, (s, e) in enumerate(((0, 100), (100, 300))):
+        one, v = language._mixtures(ll[:, s:e], words[d : d + 1], 8)
+        assert np.allclose(one[:, 0], share[:, d], atol=1e-5) and abs(v[0] - value[d]) < 1e-2

@@ -7,8 +7,9 @@ picked by a hash of the id; that bound is a parameter of the fit, and prediction
 Prediction takes the words of a whole text as draws from a mixture of languages. A word's
 likelihood under a language is the product of those of its n-grams (tempered by 1 / n-grams of a
 character, which overlap). Expectation-maximisation finds the proportions. The set of languages
-is chosen by penalised likelihood: sets of the 1, 2, ... most probable languages are fitted and
-the one with the greatest log-likelihood less half of (its size x log(words + 1)) is kept.
+is chosen by penalised likelihood: sets of the 1, 2, ... most probable languages are fitted, up to
+all that were learned, and the one with the greatest log-likelihood less half of (its size x
+log(words + 1)) is kept. Sizes end for a text where no proportions could make up for the penalty.
 
 Results: `lang_pred` is the language with the largest proportion (the first by name among
 equals), `score` that proportion, `languages` the set with its proportions. A text that is null,
@@ -144,9 +145,14 @@ def _mixtures(ll: np.ndarray, words: np.ndarray, rounds: int) -> tuple[np.ndarra
     best[first, np.arange(len(words))] = 1
     value = single.max(0) - penalty
     if n_lang > 1:
-        full, _ = em(np.ones((n_lang, len(words))), np.full((n_lang, len(words)), 1 / n_lang), rounds)
+        full, reached = em(np.ones((n_lang, len(words))), np.full((n_lang, len(words)), 1 / n_lang), rounds)
+        # by Jensen's inequality no proportions exceed this log-likelihood (but for rounding)
+        gain = np.add.reduceat(like / np.maximum((like * full[:, of]).sum(0), 1e-30), starts, axis=1).max(0) / words
+        most = reached + words * (np.log(np.maximum(gain, 1)) + 1e-4)
         order = np.argsort(np.argsort(-full, axis=0, kind="stable"), axis=0)
-        for k in range(2, min(n_lang, 8) + 1):
+        for k in range(2, n_lang + 1):
+            if not (most - k * penalty > value).any():
+                break
             share, log_likelihood = em((order < k).astype(np.float32), np.maximum(full, 1e-3), rounds)
             better = log_likelihood - k * penalty > value
             best[:, better] = share[:, better]

@@ -43,6 +43,10 @@ def test_mixture_against_a_plain_loop():
     ll = rng.normal(0, 1, (3, 12)).astype(np.float32)
     words = np.array([5, 7])
     share, value = language._mixtures(ll, words, 50)
+    times = np.arange(12) % 3 + 1
+    weighted = language._mixtures(ll, words, 50, times.astype(np.float32))
+    spread = language._mixtures(np.repeat(ll, times, axis=1), np.array([times[:5].sum(), times[5:].sum()]), 50)
+    assert np.allclose(weighted[0], spread[0], atol=1e-5) and np.allclose(weighted[1], spread[1], atol=1e-3)
     for d, (s, e) in enumerate(((0, 5), (5, 12))):
         part = np.exp(ll[:, s:e].astype(float))
         log_likelihood = np.log((part * share[:, d][:, None]).sum(0)).sum()
@@ -81,3 +85,43 @@ def test_sets_of_many_languages():
     for d, (s, e) in enumerate(((0, 100), (100, 300))):
         one, v = language._mixtures(ll[:, s:e], words[d : d + 1], 8)
         assert np.allclose(one[:, 0], share[:, d], atol=1e-5) and abs(v[0] - value[d]) < 1e-2
+
+
+def test_clear_texts_need_no_mixture(monkeypatch):
+    """Where the bound rules all mixtures out, none is fitted, and the result is that of fitting them all."""
+    rng = np.random.default_rng(7)
+    ll = rng.normal(-3, 1, (4, 500)).astype(np.float32)
+    ll[1] += 3
+    words = np.array([200, 300])
+    called = []
+    fitted = language._em
+    monkeypatch.setattr(language, "_em", lambda *a: called.append(1) or fitted(*a))
+    share, value = language._mixtures(ll, words, 8)
+    assert not called and (share.argmax(0) == 1).all()
+    for d, (s, e) in enumerate(((0, 200), (200, 500))):
+        part = np.exp(ll[:, s:e].astype(float))
+        for other in (0, 2, 3):
+            for p in np.linspace(0.01, 0.99, 50):
+                assert np.log(p * part[1] + (1 - p) * part[other]).sum() - np.log(words[d] + 1) < value[d]
+
+
+def test_long_texts_in_pieces(spark):
+    model = language.fit(spark.read.parquet(f"{DATA}/sf0.001/documents.parquet"))
+    columns = [np.ascontiguousarray(model.table[:, k]) for k in range(len(model.langs))]
+    text = "the words of this one and der die das und ñandú, ça va! " * 50 + "x" * 500 + " end ü" * 30
+    data = np.frombuffer(text.encode(), np.uint8)
+    ll, words = language._words(data, np.array([0, len(data)]), columns)
+    few, times = language._long(data, columns, 600)
+    assert times.sum() == words[0] and few.shape[1] < 40
+    for a, b in zip(language._mixtures(ll, words, 20), language._mixtures(few, np.array([few.shape[1]]), 20, times)):
+        assert np.allclose(a, b, atol=1e-2)
+
+
+def test_every_language_is_learned(spark):
+    """One of many rows, one of a single long text, and hundreds of small ones."""
+    rows = [(i, "many words here " * 20, "aa", None, 1) for i in range(400)] + [(1000, "seltene worte " * 5000, "bb", None, 1)] + [(2000 + i, chr(0x4E00 + i) * 5, f"l{i:03}", None, 1) for i in range(300)]
+    docs = documents(spark, rows)
+    model = language.fit(docs, train_chars=1000)
+    assert len(model.langs) == 302
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs.where("doc_id >= 1000"), model).collect()}
+    assert got[1000] == "bb" and sum(got[2000 + i] == f"l{i:03}" for i in range(300)) > 290

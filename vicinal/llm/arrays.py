@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+#: Bytes that are worked on at once; memory is some dozens of times that.
+PIECE = 1 << 22
 _PRIME = U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U(pow(int(_PRIME), -1, 1 << 64))
 _WEIGHTS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U)
@@ -48,12 +52,11 @@ def blocks(column: pa.Array, most: int = 1 << 19):
         i = j
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for every run of other than ASCII white space, in order, and the number of such words of each text."""
+def _word_hashes(data: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, U), np.zeros(len(at) - 1, np.int64)
-    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    word = ~spaces(data)
     begins, ends = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
     ends[:-1] &= ~word[1:]
@@ -69,6 +72,47 @@ def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[n
     return h, np.diff(np.searchsorted(s, at))
 
 
+def spaces(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
+def cuts(data: np.ndarray, most: int):
+    """A text's bytes in pieces of at most `most`, each but the last ending in white space; a run of `most` bytes or more without any stands alone, whole."""
+    s, n = 0, len(data)
+    while s < n:
+        e = min(n, s + most)
+        if e - s == most:
+            found = np.flatnonzero(spaces(data[s:e]))
+            if len(found):
+                e = s + int(found[-1]) + 1
+            else:
+                while e < n and not (found := np.flatnonzero(spaces(data[e : e + most]))).size:
+                    e = min(n, e + most)
+                e = e + int(found[0]) if found.size else n
+        yield s, e
+        s = e
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for every run of other than ASCII white space, in order, and the number of such words of each text. Long texts go through in pieces of PIECE bytes."""
+    if len(data) < PIECE:
+        return _word_hashes(data, at, lower)
+    made, counts = [], []
+    for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        text, n = data[s:e], 0
+        for x, y in cuts(text, PIECE):
+            if y - x >= PIECE and not spaces(text[x : x + PIECE]).any():  # a word of that length
+                own = text[x:y]
+                own = np.where((own >= 65) & (own <= 90), own + np.uint8(32), own) if lower else own
+                h = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), U)
+            else:
+                h, _ = _word_hashes(text[x:y], np.array([0, y - x]), lower)
+            made.append(h)
+            n += len(h)
+        counts.append(n)
+    return np.concatenate(made) if made else np.zeros(0, U), np.array(counts, np.int64)
+
+
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """A hash for every k following words of a text (a text with fewer, but some, has one of them all), in order, and their number in each text."""
     n = len(words)

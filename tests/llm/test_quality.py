@@ -44,6 +44,39 @@ def test_slices_don_t_change_results(monkeypatch):
     assert np.allclose(cnn.summaries(data, at, net), want)
 
 
+def test_long_texts_in_runs(monkeypatch):
+    net, rng = network(2), np.random.default_rng(5)
+    for n in (5 * 512, 5 * 512 + 3, 5 * 512 + 300, 4 * 512 + 259, 513):
+        data = rng.integers(32, 127, n).astype(np.uint8)
+        want = cnn.summaries(data, np.array([0, n]), net)
+        with monkeypatch.context() as m:
+            m.setattr(cnn, "LONG", 512)
+            assert np.allclose(cnn.summaries(data, np.array([0, n]), net), want), n
+
+
+def test_the_sample_is_of_rows_that_count(spark):
+    """Labels of held-out, missing, null and too long documents don't use up the sample."""
+    docs = spark.createDataFrame([(i, f"text {i}" if i % 3 else None) for i in range(60)] + [(100, "x" * 500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 1000)] + [(100, 1)], "doc_id long, quality int")
+    for n in (1, 10, 40, 100):
+        rows = cnn.sample(docs, labels, n, 100, 1 << 20)
+        assert len(rows) == min(n, 40) and all(q == int(t.split()[1]) % 2 for t, q in rows)
+    assert sum(len(t) for t, _ in cnn.sample(docs, labels, 100, 100, 50)) <= 50
+
+
+def test_gradients(monkeypatch):
+    """Training lowers the loss of its texts to nearly nothing, and knows unseen texts of the same kinds."""
+    rng = np.random.default_rng(1)
+    make = lambda q: bytes(rng.choice(list(b"abc de" if q else b"ab#$% "), 300).tolist())
+    y = np.arange(60) % 2
+    net = cnn.fit_network([make(q) for q in y], y, epochs=8)
+    unseen = np.arange(40) % 2
+    for q in unseen:
+        x = np.frombuffer(make(q), np.uint8)
+        p = 1 / (1 + np.exp(-(cnn.summaries(x, np.array([0, len(x)]), net) @ net.head)))[0]
+        assert (p > 0.5) == bool(q)
+
+
 def test_held_out_accuracy(spark):
     got = op7_byte_cnn(spark, f"{DATA}/sf0.1").toPandas()
     assert len(got) == 10_000 and got.score.between(0, 1).all() and ((got.score >= 0.7) == (got.predicted == 1)).all()

@@ -8,11 +8,13 @@ probability. For scoring, the
 filters' taps are tables of byte pairs, so the convolution is three look-ups a byte, and long
 texts go through in slices of bounded size.
 
-It is trained on a bounded sample of the labelled rows: `train_docs` documents, the first by a
-hash of the id, without texts of over `train_bytes` bytes, and up to `train_chunks` chunks of
-each, spread evenly. Scoring reads every text whole. Null and empty texts are one chunk without
+It is trained on a bounded sample of the labelled rows: of the documents that have a label and a
+text of at most `train_bytes` bytes, the first `train_docs` by a hash of the id, as far as
+`total_bytes` bytes of them reach, and up to `train_chunks` chunks of each, spread evenly. Scoring
+reads every text whole, in slices. Null and empty texts are one chunk without
 a byte and get its probability; without labels every score is 0.5. Rows whose label is null are
-not learned from; rows that repeat get equal scores; other columns are not read.
+not learned from; rows that repeat get equal scores, an empty table gives an empty result; other
+columns are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .shared import map_batches
 WIDTH, STRIDE, FILTERS, EMBEDDED = 6, 256, 32, 8
 #: Strides of a slice: bounds the memory of a convolution.
 SLICE = 256
+#: Bytes of a text that go through at once.
+LONG = 1 << 22
 
 
 @dataclass
@@ -44,8 +48,8 @@ class Network:
     blank: bool = False
 
 
-def pooled(data: np.ndarray, at: np.ndarray, net: Network) -> tuple[np.ndarray, np.ndarray]:
-    """The max-pooled filters of every chunk of each text, and the number of chunks of each."""
+def _maxima(data: np.ndarray, at: np.ndarray, net: Network) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest output of each filter in every stride of each text, and the number of strides of each."""
     sizes = np.diff(at)
     strides = np.maximum(1, -(-sizes // STRIDE))
     first = np.cumsum(strides) - strides
@@ -68,16 +72,28 @@ def pooled(data: np.ndarray, at: np.ndarray, net: Network) -> tuple[np.ndarray,
             made += net.pairs[t][pair[2 * t : 2 * t + n]]
         made[~live[low:high]] = -np.inf
         most[s:e] = made.reshape(e - s, STRIDE, FILTERS).max(1)
-    most = np.maximum(most + net.bias, 0)
-    chunks = np.maximum(1, strides - 1)
-    start = np.repeat(first - (np.cumsum(chunks) - chunks), chunks) + np.arange(int(chunks.sum()))
-    second = np.minimum(start + 1, np.repeat(first + strides - 1, chunks))
-    return np.maximum(most[start], most[second]), chunks
+    return np.maximum(most + net.bias, 0), strides
 
 
 def summaries(data: np.ndarray, at: np.ndarray, net: Network) -> np.ndarray:
     """Mean, least and greatest chunk logit, how much is missing to a full chunk, and 1, of each text."""
-    made, chunks = pooled(data, at, net)
+    if len(at) == 2 and at[1] - at[0] > LONG:
+        # a long text in runs of strides, each with the bytes of the next one that its last windows reach
+        n, parts = len(data), []
+        for s in range(0, n, LONG):
+            e = min(n, s + LONG)
+            most, strides = _maxima(data[s : min(n, e + WIDTH - 1)], np.array([0, min(n, e + WIDTH - 1) - s]), net)
+            parts.append(most[: -(-(e - s) // STRIDE)])
+        if n % LONG and n % LONG < WIDTH:  # too short for a window of its own
+            parts[-1][:] = 0
+        most, strides = np.concatenate(parts), np.array([-(-n // STRIDE)])
+    else:
+        most, strides = _maxima(data, at, net)
+    first = np.cumsum(strides) - strides
+    chunks = np.maximum(1, strides - 1)
+    start = np.repeat(first - (np.cumsum(chunks) - chunks), chunks) + np.arange(int(chunks.sum()))
+    second = np.minimum(start + 1, np.repeat(first + strides - 1, chunks))
+    made = np.maximum(most[start], most[second])
     logits = made.astype(np.float64) @ net.out + net.shift
     starts = np.cumsum(chunks) - chunks
     return np.stack([np.add.reduceat(logits, starts) / chunks, np.minimum.reduceat(logits, starts), np.maximum.reduceat(logits, starts), np.maximum(0, 1 - np.diff(at) / (2 * STRIDE)), np.ones(len(chunks))], axis=1)
@@ -163,16 +179,33 @@ def blank() -> Network:
     return Network(np.zeros((WIDTH // 2, 1, FILTERS), np.float32), np.zeros(FILTERS), np.zeros(FILTERS), 0.0, np.zeros(5), True)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 3_000, train_bytes: int = 1 << 18, **options) -> Network:
+def sample(docs: DataFrame, labels: DataFrame, train_docs: int, train_bytes: int, total_bytes: int) -> list[tuple[str, int]]:
+    """The bounded sample (text, quality). Only ids and sizes are joined with the labels; texts are read of the chosen ones."""
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("quality"))
+    sized = docs.where("text is not null").select("doc_id", F.octet_length("text").alias("size")).where(F.col("size") <= train_bytes).groupBy("doc_id").agg(F.max("size").alias("size"))
+    first = sized.join(known, F.col("doc_id") == F.col("labelled")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).select("labelled", "quality", "size").collect()
+    chosen, left = [], total_bytes
+    for r in first:
+        left -= r["size"]
+        if left < 0:
+            break
+        chosen.append((r["labelled"], int(r["quality"])))
+    if not chosen:
+        return []
+    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, f"labelled {docs.schema['doc_id'].dataType.simpleString()}, quality int"))  # at most train_docs rows
+    # an id that repeats gives its least text
+    rows = docs.where("text is not null").where(F.octet_length("text") <= train_bytes).join(picked, F.col("doc_id") == F.col("labelled"))
+    got = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "quality").toArrow()
+    return list(zip(got["text"].to_pylist(), got["quality"].to_pylist(), strict=True))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 3_000, train_bytes: int = 1 << 18, total_bytes: int = 1 << 26, **options) -> Network:
     """Learns from docs (doc_id, text) and labels (doc_id, quality)."""
-    sample = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).withColumnRenamed("doc_id", "labelled")
-    rows = docs.where("text is not null").where(F.octet_length("text") <= train_bytes).join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"))
-    got = rows.select("doc_id", "text", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(train_docs).toArrow()
-    y = got["quality"].to_numpy().astype(int)
+    rows = sample(docs, labels, train_docs, train_bytes, total_bytes)
+    y = np.array([q for _, q in rows], int)
     if len(set(y.tolist())) < 2:
         return blank()
-    return fit_network([x.encode() for x in got["text"].to_pylist()], y, **options)
+    return fit_network([x.encode() for x, _ in rows], y, **options)
 
 
 def score(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.7) -> DataFrame:

@@ -42,7 +42,7 @@ def test_malformed_pages():
 
 
 def test_pages_are_read_in_linear_time():
-    for page in ("<" * 100_000, "<a " * 50_000, "<a href='" * 30_000, "<div>" * 3_000, "&" * 100_000, "<!--" * 50_000, "<p " + "x='" * 50_000):
+    for page in ("<" * 100_000, "<a " * 50_000, "<a href='" * 30_000, "<div>" * 100_000, "<div>" * 50_000 + "</section>" * 50_000, "<div>x<p>y</p>" * 30_000, "&" * 100_000, "<!--" * 50_000, "<p " + "x='" * 50_000):
         html_main.read(page)
 
 
@@ -107,3 +107,105 @@ def test_names_of_wrappers_don_t_drop_the_article():
     assert html_main.extract(page, []) == words.strip()
     assert html_main.extract("<p>a<svg><path/>no</svg>b", []) == "ab"
     assert html_main.extract("<div class='ad'>only</div>", []) == "only" and html_main.extract("<nav>only</nav>", []) == ""
+
+
+def test_deep_pages_take_little_memory():
+    """100,000 nested containers with texts and others beside them."""
+    import tracemalloc
+
+    page = "<div class='a b'><div class='c'>beside</div>text" * 50_000
+    tracemalloc.start()
+    text = html_main.extract(page, [])
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 250e6 and text.count("text") == 50_000
+
+
+def plain(pages):
+    """Votes and choice by loops, paths as tuples of labels; pages (url, html)."""
+    import urllib.parse
+    from collections import Counter
+
+    def way(node):
+        out = ()
+        while node.parent is not None:
+            out = (node.path, *out)
+            node = node.parent
+        return out
+
+    made = []
+    for url, page in pages:
+        host = urllib.parse.urlsplit((url or "").lower()).hostname or ""
+        root, blocks = html_main.read(page or "")
+        made.append((host, root, blocks, html_main.best(root)))
+    votes, beside = Counter(), Counter()
+    for host, _, blocks, node in made:
+        if blocks:
+            votes[host, way(node)] += 1
+            up, found = node, set()
+            while up.parent is not None:
+                found |= {way(x) for x in up.parent.children if x.all_chars and way(x) != way(up)}
+                up = up.parent
+            for other in found - {way(node)[:k] for k in range(len(way(node)) + 1)}:
+                beside[host, way(node), other] += 1
+    out = []
+    for host, root, blocks, node in made:
+        total = sum(n for (h, _), n in votes.items() if h == host)
+        ranked = sorted((-n, p[-1] if p else 0, p) for (h, p), n in votes.items() if h == host and n * html_main.VOTES >= total)
+        every = [root]
+        for x in every:
+            every += x.children
+
+        def under(x, path):
+            return way(x)[: len(path)] == path
+
+        text = None
+        for n, _, path in ranked:
+            outside = {o for (h, p, o), m in beside.items() if h == host and p == path and m * 2 >= -n}
+            held = left = 0
+            for x in every:
+                own = x.chars - sum(c.chars for c in x.children)
+                if under(x, path):
+                    held += own
+                elif not any(under(x, o) for o in outside):
+                    left += own
+            if any(way(x) == path for x in every) and held >= html_main.SHARE * (held + left):
+                text = " ".join(t for x, t in blocks if under(x, path))
+                if text:
+                    break
+        out.append(text or " ".join(t for x, t in blocks if any(x is y or y is node for y in [x]) or under(x, way(node)) and _within(x, node)))
+    return out
+
+
+def _within(x, node):
+    while x is not None:
+        if x is node:
+            return True
+        x = x.parent
+    return False
+
+
+def test_votes_against_plain_loops(spark):
+    import random
+
+    rng = random.Random(3)
+    parts = ["<div class='story-{n}'>{w}</div>", "<div class='box'>{w}</div>", "<aside>{w}</aside>", "<section class='x'><div class='story-{n}'>{w}</div></section>", "<div id='q'>{w}</div>", "<ul><li>{w}</ul>", "<article>{w}</article>", "<div class='story-1'><p>{w}</p><div class='inner'>{w}</div></div>"]
+    pages = []
+    for i in range(400):
+        host = rng.choice(["a.example", "b.example", "c.example", "d.example"])
+        body = "".join(rng.choice(parts).format(n=rng.randrange(9), w=f"w{i} some words of it " * rng.choice([1, 3, 20])) for _ in range(rng.randrange(4)))
+        pages.append((rng.choice([f"http://{host}/{i}", f"HTTPS://u@{host.upper()}:8080/?{i}", None]), rng.choice(["<html><body>{}</body></html>", "<div class='wrap'>{}</div>"]).format(body)))
+    want = plain(pages)
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(df).collect()}
+    assert [got[i] for i in range(len(pages))] == want
+
+
+def test_all_templates_of_a_host(spark):
+    """Six templates that share a host's votes all win."""
+    rows = [(i, f"http://h.example/{i}", f"<body><div class='t{'abcdef'[i % 6]}'>{'long text of it ' * 30}</div><div class='zone'>talk</div></body>", "x", "y", "z") for i in range(60)]
+    rows += [(100 + k, f"http://h.example/{100 + k}", f"<body><div class='t{c}'>short text</div><div class='zone'>{'endless talk ' * 40}</div></body>", "x", "y", "z") for k, c in enumerate("abcdef")]
+    df = spark.createDataFrame(rows, PAGES)
+    assert len(html_main.winning_paths(df).first()["winners"]) >= 6
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(df).collect()}
+    assert all(got[100 + k] == "short text" for k in range(6))

@@ -11,21 +11,26 @@
    no higher heading beside it is stepped into as well; nothing within it is. Lists, tables,
    quotes and figures are never stepped into.
 2. Its path of tags and classes, with digits generalised, gets a vote of the page. Votes are
-   summed by (host, path) in Spark; the winners are each host's best paths, at most `paths`, with
-   a tenth of the best one's votes or more. The paths beside the way to a winner on half or more
-   of the pages that voted for it are known to lie outside of the article.
+   summed by (host, path) in Spark; the winners are all paths with 1 / VOTES of their host's votes
+   or more, best first. The paths beside the way to a winner on half or more of the pages that
+   voted for it are known to lie outside of the article.
 3. Each page is read again: all containers with the first winning path that the page has, and
    that holds SHARE of what isn't known to lie outside, give the text. A page without any falls
    back on its own best container.
 
 White space inside a block becomes one space, blocks are joined by one space in page order; br
 and block tags part words, inline tags don't. Character references are decoded once. A null or
-empty page gives an empty text; a null url is a host of its own. A host may hold any share of the
-pages: only sums and winners travel, and winners are broadcast if there are few enough.
+empty page gives an empty text; a null url is a host of its own, and so are all urls without one.
+Ties in votes go to the lesser path number; rows that repeat vote and are read again; an empty
+table gives an empty result; columns other than page_id, url and html are not read, whatever
+their names. A path is a number of 64 bits, made of its parent's and its own tag and classes, so
+that time and memory follow the length of a page, however deep it nests. A host may hold any share
+of the pages: only sums and winners travel, and winners are broadcast if their bytes are few.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
 from collections import Counter
@@ -35,10 +40,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import map_batches, materialize
+from .shared import map_batches, materialize, with_sums
 
 SHARE = 0.9
-MOST_BROADCAST = 200_000
+#: A path with this part of its host's votes is a winner.
+VOTES = 20
+#: Bytes of all winners up to which they are broadcast.
+MOST_BROADCAST = 32 << 20
 
 _PART = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
@@ -73,9 +81,10 @@ GOOD = frozenset("article content main post entry story body text".split())
 class _Node:
     __slots__ = ("all_chars", "all_main", "chars", "children", "dropped", "good", "heading", "main", "named", "own_heading", "parent", "path", "tag")
 
-    def __init__(self, tag: str, path: str, parent, good: bool):
-        self.tag, self.path, self.parent, self.good, self.children = tag, path, parent, good, []
-        # the names for which the container is dropped if it isn't the article, and whether it is
+    def __init__(self, tag: str, label: str, parent, good: bool):
+        self.tag, self.parent, self.good, self.children = tag, parent, good, []
+        self.path = path_number(parent.path, label) if parent is not None else 0
+        # the names for which the container is dropped if it isn't the article, and whether it, or one around it, is
         self.named, self.dropped = frozenset(), False
         # characters, those in article and main, each with and without what is dropped for its name
         self.chars = self.main = self.all_chars = self.all_main = 0
@@ -85,6 +94,18 @@ class _Node:
             parent.children.append(self)
 
 
+def path_number(parent: int, label: str) -> int:
+    return int.from_bytes(hashlib.blake2b(parent.to_bytes(8, "little", signed=True) + label.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def _in_order(root: _Node) -> list[_Node]:
+    """All containers, each after the one around it."""
+    out = [root]
+    for node in out:
+        out += node.children
+    return out
+
+
 def _words(x: str) -> list[str]:
     return [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", x).lower()) if w]
 
@@ -101,6 +122,7 @@ def read(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
     """The tree of containers, and the kept blocks' texts with their containers, in order."""
     root = _Node("", "", None, False)
     stack, dropped, in_article = [root], [], 0
+    opened: Counter = Counter()
     blocks: list[tuple[_Node, str, int, int, int]] = []
     block: list[str] = []
     link, rank, chars, main = False, NO_HEADING, 0, 0
@@ -146,12 +168,13 @@ def read(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
         if tag not in CONTAINERS and tag not in DROPPED:
             continue
         if m["close"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    in_article -= sum(n.tag in ("article", "main") for n in stack[k:])
-                    while dropped and dropped[-1] >= k:
-                        dropped.pop()
-                    del stack[k:]
+            while opened[tag]:
+                end = stack.pop()
+                opened[end.tag] -= 1
+                in_article -= end.tag in ("article", "main")
+                while dropped and dropped[-1] >= len(stack):
+                    dropped.pop()
+                if end.tag == tag:
                     break
             continue
         classes, names, hidden = [], [], False
@@ -169,10 +192,11 @@ def read(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
             while stack[-1].tag in ends:
                 while dropped and dropped[-1] >= len(stack) - 1:
                     dropped.pop()
-                stack.pop()
+                opened[stack.pop().tag] -= 1
         label = re.sub(r"\d+", "#", ".".join([tag, *sorted(set(classes))]))
-        node = _Node(tag, f"{stack[-1].path}>{label}", stack[-1], tag in ("article", "main") or not GOOD.isdisjoint(names))
+        node = _Node(tag, label, stack[-1], tag in ("article", "main") or not GOOD.isdisjoint(names))
         stack.append(node)
+        opened[tag] += 1
         if tag not in ("html", "body", "main", "article"):
             node.named = NAMED & set(names)
         elif tag == "article":
@@ -189,42 +213,39 @@ def read(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
 
 def _judged(root: _Node, blocks: list[tuple[_Node, str, int, int, int]]) -> list[tuple[_Node, str]]:
     """The blocks that aren't dropped for a name, of blocks (container, text, characters, those in article and main, heading); counts them for their containers."""
-    elsewhere = 0
+    nodes = _in_order(root)
     for node, _, chars, main, _ in blocks:
-        inside_named = False
-        while node is not None:
-            if node.named:
-                inside_named = True
-                # an article with another part's name keeps no containers
-                main = 0 if node.tag == "article" else main
-            node.all_chars += chars
-            node.all_main += main
-            node = node.parent
-        elsewhere += 0 if inside_named else main
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        node.dropped = bool(node.named) and not _kept(node, root.all_chars, elsewhere)
-        todo += [] if node.dropped else node.children
-    kept = [x for x in blocks if not _is_dropped(x[0])] or blocks
+        node.all_chars += chars
+        node.all_main += main
+    # articles outside of all containers with another part's name
+    inside, elsewhere = {id(root)} if root.named else set(), 0
+    for node in nodes:
+        if node.parent is not None and (node.named or id(node.parent) in inside):
+            inside.add(id(node))
+        elsewhere += 0 if id(node) in inside else node.all_main
+    for node in reversed(nodes):
+        if node.named and node.tag == "article":
+            node.all_main = 0  # an article with another part's name keeps no containers
+        if node.parent is not None:
+            node.parent.all_chars += node.all_chars
+            node.parent.all_main += node.all_main
+    for node in nodes:
+        above = node.parent is not None and node.parent.dropped
+        node.dropped = above or (bool(node.named) and not _kept(node, root.all_chars, elsewhere))
+    kept = [x for x in blocks if not x[0].dropped] or blocks
     for node, _, chars, main, rank in kept:
         node.own_heading = min(node.own_heading, rank)
-        while node is not None:
-            node.chars += chars
-            node.main += main
-            node.heading = min(node.heading, rank)
-            node = node.parent
+        node.chars += chars
+        node.main += main
+    for node in reversed(nodes):
+        node.heading = min(node.heading, node.own_heading)
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.main += node.main
+            node.parent.heading = min(node.parent.heading, node.heading)
     return [x[:2] for x in kept]
 
 
-def _is_dropped(node: _Node) -> bool:
-    while node is not None:
-        if node.dropped:
-            return True
-        node = node.parent
-    return False
-
-
 def best(root: _Node) -> _Node:
     node = root
     while node.children and node.chars and node.tag not in ("article", "main"):
@@ -244,49 +265,51 @@ def best(root: _Node) -> _Node:
     return node
 
 
-def _beside(node: _Node) -> set[str]:
+def _beside(node: _Node) -> set[int]:
     """The paths of containers with text beside the way from the root to node."""
-    out, own = set(), node.path
+    out, way = set(), set()
     while node.parent is not None:
-        out |= {x.path for x in node.parent.children if x is not node and x.all_chars and x.path != node.path}
+        way.add(node.path)
+        out |= {x.path for x in node.parent.children if x.all_chars and x.path != node.path}
         node = node.parent
-    return out - {own}
+    return out - way
 
 
-def _inside(node: _Node, paths: set[int]) -> bool:
-    while node is not None:
-        if id(node) in paths:
-            return True
-        node = node.parent
-    return False
+def _text(root: _Node, blocks: list[tuple[_Node, str]], chosen: set[int]) -> str:
+    """The blocks within containers of these (by id)."""
+    inside = set()
+    for node in _in_order(root):
+        if id(node) in chosen or (node.parent is not None and id(node.parent) in inside):
+            inside.add(id(node))
+    return " ".join(text for node, text in blocks if id(node) in inside)
 
 
-def extract(page: str, winners: list[str], beside: list[list[str]] | None = None) -> str:
+def extract(page: str, winners: list[int], beside: list[list[int]] | None = None) -> str:
     """The text of the first winner that holds the page's article; beside: for each winner, the paths known to lie outside."""
     root, blocks = read(page)
+    known = {node.path for node in _in_order(root)} if winners else set()
     for path, others in zip(winners, beside or [[]] * len(winners), strict=True):
-        chosen, held, left, todo = set(), 0, 0, [root]
+        if path not in known:
+            continue
+        outside, chosen, held, left, todo = set(others), set(), 0, 0, [root]
         while todo:
             node = todo.pop()
             if node.path == path:
                 chosen.add(id(node))
                 held += node.chars
-            elif path.startswith(node.path + ">") or node.path not in others:
+            elif node.path not in outside:
                 left += node.chars - sum(x.chars for x in node.children)
                 todo += node.children
-        if chosen and held >= SHARE * (held + left):
-            texts = [text for node, text in blocks if _inside(node, chosen)]
-            if texts:
-                return " ".join(texts)
-    own = {id(best(root))}
-    return " ".join(text for node, text in blocks if _inside(node, own))
+        if chosen and held >= SHARE * (held + left) and (text := _text(root, blocks, chosen)):
+            return text
+    return _text(root, blocks, {id(best(root))})
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
-def winning_paths(pages: DataFrame, paths: int = 3) -> DataFrame:
+def winning_paths(pages: DataFrame) -> DataFrame:
     """voted_host, winners (paths, best first) and beside (for each the paths known to lie outside) from pages (url, html)."""
 
     def vote(batches):
@@ -300,26 +323,28 @@ def winning_paths(pages: DataFrame, paths: int = 3) -> DataFrame:
                         votes[host, node.path, None] += 1
                         for other in _beside(node):
                             votes[host, node.path, other] += 1
-            columns = [pa.array([k[i] for k in votes], pa.string()) for i in range(3)]
+            columns = [pa.array([k[i] for k in votes], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(votes.values(), pa.int64())], ["voted_host", "path", "other", "votes"])
 
-    counted = map_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), vote, "voted_host string, path string, other string, votes long").groupBy("voted_host", "path", "other").agg(F.sum("votes").alias("n"))
-    # others that half of a path's pages have are few, however many there are in all
-    counted = counted.withColumn("votes", F.max(F.when(F.col("other").isNull(), F.col("n"))).over(Window.partitionBy("voted_host", "path"))).where(F.col("other").isNull() | (F.col("n") * 2 >= F.col("votes")))
-    counted = counted.groupBy("voted_host", "path").agg(F.max("votes").alias("votes"), F.collect_list("other").alias("beside"))
-    of_host = Window.partitionBy("voted_host")
-    ranked = counted.withColumn("place", F.row_number().over(of_host.orderBy(F.desc("votes"), "path"))).where(F.col("place") <= paths)
-    listed = ranked.groupBy("voted_host").agg(F.sort_array(F.collect_list(F.struct("place", "path", "votes", "beside"))).alias("all"))
-    listed = listed.select("voted_host", F.filter("all", lambda x: x["votes"] * 10 >= F.col("all")[0]["votes"]).alias("all"))
-    return listed.select("voted_host", F.transform("all", lambda x: x["path"]).alias("winners"), F.transform("all", lambda x: x["beside"]).alias("beside"))
+    rows = map_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), vote, "voted_host string, path long, other long, votes long")
+    counted = materialize(rows.groupBy("voted_host", "path", "other").agg(F.sum("votes").alias("n")), "html-votes")
+    # at most VOTES winners of a host
+    paths = with_sums(counted.where("other is null").drop("other"), "voted_host", {"total": F.sum("n")}).where(F.col("n") * VOTES >= F.col("total"))
+    won = paths.select(F.col("voted_host").alias("h"), F.col("path").alias("p"), F.col("n").alias("votes"))
+    others = counted.where("other is not null").join(won, (F.col("voted_host") == F.col("h")) & (F.col("path") == F.col("p"))).where(F.col("n") * 2 >= F.col("votes"))
+    # what half of the pages of a path have is at most twice what one has
+    beside = others.groupBy("h", "p").agg(F.sort_array(F.collect_list("other")).alias("beside")).withColumnsRenamed({"h": "bh", "p": "bp"})
+    listed = won.join(beside, (F.col("h") == F.col("bh")) & (F.col("p") == F.col("bp")), "left").select("h", F.struct((-F.col("votes")).alias("place"), "p", F.coalesce("beside", F.array().cast("array<long>")).alias("beside")).alias("x"))
+    listed = listed.groupBy(F.col("h").alias("voted_host")).agg(F.sort_array(F.collect_list("x")).alias("all"))
+    return listed.select("voted_host", F.transform("all", lambda x: x["p"]).alias("winners"), F.transform("all", lambda x: x["beside"]).alias("beside"))
 
 
-def main_text(pages: DataFrame, paths: int = 3) -> DataFrame:
+def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for each row of pages (page_id, url, html)."""
-    winners = materialize(winning_paths(pages, paths), "html-winners")
-    small = (winners.agg(F.sum(1 + F.size(F.flatten("beside")))).first()[0] or 0) <= MOST_BROADCAST
+    winners = materialize(winning_paths(pages), "html-winners")
+    size = winners.agg(F.sum(F.octet_length("voted_host") + 8 * F.size("winners") + 8 * F.size(F.flatten("beside")) + 64)).first()[0] or 0
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    rows = rows.join(F.broadcast(winners) if small else winners, F.col("host") == F.col("voted_host"), "left").select("page_id", "url", "html", "winners", "beside")
+    rows = rows.join(F.broadcast(winners) if size <= MOST_BROADCAST else winners, F.col("host") == F.col("voted_host"), "left").select("page_id", "url", "html", "winners", "beside")
 
     def run(batches):
         for batch in batches:

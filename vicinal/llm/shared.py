@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from ..plans.storage import materialize, scratch_dir
 
-__all__ = ["BATCH_BYTES", "FILTER_WORDS", "filter_words", "held_out", "map_batches", "materialize", "perhaps", "scratch_dir", "table"]
+__all__ = ["BATCH_BYTES", "FILTER_WORDS", "filter_words", "held_out", "map_batches", "materialize", "perhaps", "scratch_dir", "table", "with_sums"]
 
 BATCH_BYTES = 2 << 20
 
@@ -22,6 +22,21 @@ def map_batches(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def with_sums(rows: DataFrame, key: str, sums: dict, hot: int = 10_000) -> DataFrame:
+    """rows (a written table) with aggregates over the rows of equal key, null keys left out. Keys of more than a part of 1 / hot of the rows, which can't be more than `hot`, get theirs by a broadcast, so that no task meets all rows of a key."""
+    n = rows.count()
+    most = max(64, n // hot)
+    summed = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__rows"), *(x.alias(name) for name, x in sums.items()))
+    if n <= most:
+        return rows.join(F.broadcast(summed), F.col(key) == F.col("__key")).drop("__key", "__rows")
+    # written, so that the many rows of a key that isn't hot enough can still be dealt to several tasks
+    summed = materialize(summed, "sums")
+    heavy, few = summed.where(F.col("__rows") > most), summed.where(F.col("__rows") <= most)
+    one = rows.join(F.broadcast(heavy), F.col(key) == F.col("__key"))
+    rest = rows.join(F.broadcast(heavy.select("__key")), F.col(key) == F.col("__key"), "left_anti").join(few, F.col(key) == F.col("__key"))
+    return one.unionByName(rest).drop("__key", "__rows")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tests.llm.conftest import documents
@@ -126,6 +127,32 @@ def test_similarity_against_a_plain_alignment():
             assert got == want if want >= 0.8 else got < 0.8
 
 
+@pytest.mark.parametrize("few", [0, 8])
+def test_alignments_of_repeating_texts(monkeypatch, few):
+    """Both ways of aligning, on texts whose k-mers repeat, with bands of any width."""
+    monkeypatch.setattr(omh, "FEW", few)
+    rng = random.Random(few)
+    for _ in range(300):
+        n, m, kinds, band = rng.randint(0, 40), rng.randint(0, 40), rng.choice([2, 5, 50]), rng.randint(0, 45)
+        a, b = [rng.randrange(kinds) for _ in range(n)], [rng.randrange(kinds) for _ in range(m)]
+        table = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(m):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] and abs(i - j) <= band else max(table[i][j + 1], table[i + 1][j])
+        best = max(map(max, table))
+        assert omh._common(np.array(a, np.uint64), np.array(b, np.uint64), band) == best
+
+
+def test_long_texts_are_aligned_fast():
+    import time
+
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 60, 1_000_000).astype(np.uint64)
+    b = np.delete(a, rng.integers(0, len(a), 20_000))
+    start = time.perf_counter()
+    assert omh.similarity(a, b, 0.8) > 0.97 and time.perf_counter() - start < 30
+
+
 def test_sketches_against_plain_loops():
     texts = ["a b c d e f g h i j", "one two", "x " * 40, "a b c d e f g h i j k l m"]
     data = [hashed(t) for t in texts]
@@ -189,5 +216,66 @@ def test_candidates_of_split_bands_are_whole(spark):
         rows += [(200 + k, [1], x), (300 + k, [1], y)]
     rows.append((400, [1], rng.integers(0, 1 << 16, omh.ENTRIES)))
     groups = spark.createDataFrame([(i, k, bytearray(s.astype("<u2").tobytes())) for i, k, s in rows], "id long, keys array<long>, sketch binary")
-    got = {r["node"]: r["root"] for r in omh.components(omh.candidates(groups, 14, 32)).collect()}
-    assert got == {i: 0 for i, _, _ in rows if i not in (0, 400)}
+    for band_rows in (8, 32, 64, 4096):
+        got = {r["node"]: r["root"] for r in omh.components(omh.candidates(groups, 14, band_rows)).collect()}
+        assert got == {i: 0 for i, _, _ in rows if i not in (0, 400)}, band_rows
+
+
+@pytest.mark.parametrize("band_rows", [8, 64, 4096])
+def test_bridged_groups_larger_than_a_block(spark, band_rows):
+    """Groups of one band that a single text joins, or doesn't, against all pairs."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(6):
+        base = rng.integers(0, 1 << 16, omh.ENTRIES)
+        for _ in range(100):
+            x = base.copy()
+            x[rng.choice(omh.ENTRIES, 12, replace=False)] = rng.integers(0, 1 << 16, 12)
+            rows.append(x)
+        if g % 2:
+            x = base.copy()
+            x[16:] = rows[(g - 1) * 101 - (g - 1) // 2 - 1][16:] if g > 1 else rows[0][16:]
+            rows.append(x)
+    sk = np.array(rows)
+    groups = spark.createDataFrame([(i, [1, 2 + i % 3], bytearray(s.astype("<u2").tobytes())) for i, s in enumerate(sk)], "id long, keys array<long>, sketch binary")
+    group = omh._connected(sk, 14)
+    want = {}
+    for k in np.unique(group):
+        own = np.flatnonzero(group == k)
+        want.update({int(i): int(own.min()) for i in own[1:]})
+    got = {r["node"]: r["root"] for r in omh.components(omh.candidates(groups, 14, band_rows)).collect()}
+    assert got == want and 1 < len(set(group.tolist())) < 6
+
+
+def test_links_are_verified(spark):
+    """The link of each text is one of similarity 0.8 or more to another of its class."""
+    rows = copies(seed=3, groups=4, size=15)
+    rows += [(1000 + i, t) for i, t in rows[:5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, members = dict(rows), {}
+    out = omh.classes(docs).collect()
+    for r in out:
+        members.setdefault(r["class_id"], []).append(r["doc_id"])
+    linked = 0
+    for r in out:
+        if r["near_id"] is None:
+            assert len(members[r["class_id"]]) == 1 or all(texts[i] == texts[r["doc_id"]] for i in members[r["class_id"]])
+            continue
+        a, b = kmers(texts[r["doc_id"]]), kmers(texts[r["near_id"]])
+        common = lcs(a, b)
+        assert r["near_id"] != r["doc_id"] and r["near_id"] in members[r["class_id"]]
+        assert abs(common / (len(a) + len(b) - common) - r["near_similarity"]) < 1e-9 and r["near_similarity"] >= 0.8
+        linked += 1
+    assert linked > 40
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from vicinal.llm import shared
+
+    rows = spark.createDataFrame([(0 if i < 900 else i, i) for i in range(1500)] + [(None, 7)], "k long, v long")
+    want = sorted((0 if i < 900 else i, i, 0 if i < 900 else i, 900 if i < 900 else 1) for i in range(1500))
+    for most in (1 << 16, 10):
+        monkeypatch.setattr(shared, "MOST_SUMS", most)
+        got = shared.with_sums(rows, "k", {"m": F.min("v"), "c": F.count("*")})
+        assert sorted(tuple(r) for r in got.collect()) == want
+        assert shared.with_sums(rows, "k", {"c": F.count("*")}, where="__rows > 1").count() == 900

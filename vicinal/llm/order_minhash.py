@@ -20,19 +20,25 @@
    aren't linked yet by way of others, a banded alignment decides: L, the longest common
    subsequence of both k-mer sequences within the band of offsets that the similarity allows, over
    all k-mers of both less L, is at least 0.8. That is the Jaccard index of the k-mers for texts
-   whose parts keep their order. No band or cluster is capped, and no pairs are listed.
+   whose parts keep their order. No band or cluster is capped, and no pairs are listed. What is
+   linked already by way of others isn't aligned again, so the links found connect each class but
+   aren't all that there are.
 5. Connected components of the links, by repeated least-neighbour steps, are the classes.
 
 Null texts belong to no group: each is its own class. Texts without a word are near only to equal
 texts. Rows with a null id keep a null class. Classes are of texts: an id that occurs with several
-texts has the class of each. Hot groups
-are counted with partial sums, joins on them can be split, and every round is written to the
-shared folder.
+texts has the class of each. Rows that repeat have equal results; an empty table gives an empty
+result; columns other than doc_id and text are not read by classes and pass through
+without_near_copies, whatever their names. Long texts are hashed in pieces (see arrays), and
+aligned in time that follows their k-mers, but for texts that repeat the same k-mers over and over.
+Hot groups are counted with partial sums, and what is known of a hot key reaches its rows by a
+broadcast of at most 10,000 rows (with_sums); every round is written to the shared folder.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U, blocks, mix, shingle_hashes, word_hashes
-from .shared import filter_words, map_batches, materialize, perhaps
+from .shared import filter_words, map_batches, materialize, perhaps, with_sums
 
 ENTRIES, BAND, KMER_WORDS = 40, 2, 5
 _SEEDS = mix(np.arange(1, ENTRIES + 1, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
@@ -202,8 +208,7 @@ def candidates(groups: DataFrame, least_equal: int, band_rows: int) -> DataFrame
     rows = groups.select(F.explode("keys").alias("key"), "id")
     pairs, before, every_pair, split = None, None, False, None
     while True:
-        shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
-        dealt = rows.join(shared, F.col("key") == F.col("k"))
+        dealt = with_sums(rows, "key", {"n": F.count("*")}, where="__rows > 1")
         dealt = _dealt(dealt.withColumn("parts", F.ceil(F.col("n") / band_rows)), every_pair, F.col("key"))
         dealt = dealt.select("key", "block", "id").join(sketch, F.col("id") == F.col("i"))
         out = materialize(_blocks(dealt.select("key", "block", "id", "sketch"), least_equal), "omh-pairs")
@@ -270,26 +275,70 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     tail = int(differs[0]) if len(differs) else short
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     band = int((n + m) - 2 * needed) + 1
-    # bit-parallel longest common subsequence; matches further than the band off the diagonal don't count
-    at: dict[int, int] = {}
-    for i, x in enumerate(a.tolist()):
-        at[x] = at.get(x, 0) | (1 << i)
-    ones = (1 << len(a)) - 1
-    window = (1 << (2 * band + 1)) - 1
-    row = ones
-    for j, y in enumerate(b.tolist()):
-        hits = at.get(y)
-        if hits:
-            hits &= window << (j - band) if j >= band else window >> (band - j)
-            if hits:
-                u = row & hits
-                row = ((row + u) | (row - u)) & ones
-    common = head + tail + len(a) - row.bit_count()
+    common = head + tail + _common(a, b, band)
     return common / (n + m - common)
 
 
-def _links(ids: np.ndarray, texts: pa.Array, least: float) -> tuple[list[int], list[int]]:
-    """Pairs that connect what the links between a block's texts connect: the least id of each group with its others."""
+#: Pairs of equal k-mers for each k-mer up to which they are gone through one by one.
+FEW = 8
+
+
+def _common(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """The longest common subsequence of two sequences; matches further than the band off the diagonal don't count."""
+    if not len(a) or not len(b):
+        return 0
+    order = np.argsort(a, kind="stable")
+    run = a[order]
+    first, last = np.searchsorted(run, b, "left"), np.searchsorted(run, b, "right")
+    if int((last - first).sum()) > FEW * (len(a) + len(b)):
+        return _common_by_bits(a, b, band)
+    # the longest rising sequence of places in a: matches in the order of b, the later places in a first
+    sizes = last - first
+    j = np.repeat(np.arange(len(b)), sizes)
+    i = order[np.repeat(last - 1 + np.cumsum(sizes) - sizes, sizes) - np.arange(len(j))]
+    rising: list[int] = []
+    for x in i[np.abs(i - j) <= band].tolist():
+        at = bisect_left(rising, x)
+        if at == len(rising):
+            rising.append(x)
+        else:
+            rising[at] = x
+    return len(rising)
+
+
+def _common_by_bits(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """The same by bits of a window that goes down the diagonal: a step costs the band's width."""
+    places: dict[int, list[int]] = {}
+    for i, x in enumerate(a.tolist()):
+        places.setdefault(x, []).append(i)
+    # where each value's places in the window begin and end, and their bits, from place `low` on
+    live: dict[int, list[int]] = {}
+    width = 2 * band + 1
+    full = (1 << width) - 1
+    row, common, low = full, 0, -band
+    for j, y in enumerate(b.tolist()):
+        if j:
+            common += (row & 1) ^ 1
+            row = (row >> 1) | (1 << (width - 1))
+            low += 1
+        own = places.get(y)
+        if own is None:
+            continue
+        bits, base, upto = live.get(y, [0, low, 0])
+        bits >>= low - base
+        while upto < len(own) and own[upto] < low + width:
+            if own[upto] >= low:
+                bits |= 1 << (own[upto] - low)
+            upto += 1
+        live[y] = [bits, low, upto]
+        if bits:
+            u = row & bits
+            row = ((row + u) | (row - u)) & full
+    return common + width - row.bit_count()
+
+
+def _links(ids: np.ndarray, texts: pa.Array, least: float) -> list[tuple[int, int, float]]:
+    """Links (two ids, similarity) that connect what all links between a block's texts connect."""
     made = [shingle_hashes(*word_hashes(data, at), KMER_WORDS) for _, _, data, at in blocks(texts)]
     counts = np.concatenate([c for _, c in made])
     shingles = np.concatenate([x for x, _ in made])
@@ -310,11 +359,12 @@ def _links(ids: np.ndarray, texts: pa.Array, least: float) -> tuple[list[int], l
         rank = np.empty(m, np.int64)
         rank[order] = np.arange(m)
         pairs = _near(order, rank, root, counts, starts, name, often, first, posts, least)
+    found = []
     for i, j in pairs:
-        if root[i] != root[j] and similarity(shingles[starts[i] : starts[i + 1]], shingles[starts[j] : starts[j + 1]], least) >= least:
+        if root[i] != root[j] and (s := similarity(shingles[starts[i] : starts[i + 1]], shingles[starts[j] : starts[j + 1]], least)) >= least:
             root[root == root[j]] = root[i]
-    a, b = _stars(ids, root)
-    return a.tolist(), b.tolist()
+            found.append((int(ids[i]), int(ids[j]), s))
+    return found
 
 
 def _near(order, rank, root, counts, starts, name, often, first, posts, least):
@@ -335,10 +385,10 @@ def _near(order, rank, root, counts, starts, name, often, first, posts, least):
 
 
 def verified(clusters: DataFrame, docs: DataFrame, least: float, block_rows: int, block_bytes: int) -> DataFrame:
-    """Links (a, b) that connect all links, from clusters (id, cluster, bytes, exact_id, text_key) and docs (doc_id, text). Of docs, those outside any cluster are left where they are."""
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes")).withColumnRenamed("cluster", "c")
+    """Links (a, b, similarity) that connect all links, from clusters (id, cluster, bytes, exact_id, text_key) and docs (doc_id, text). Of docs, those outside any cluster are left where they are."""
+    sized = with_sums(clusters, "cluster", {"n": F.count("*"), "all_bytes": F.sum("bytes")})
     parts = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("all_bytes") / block_bytes))
-    dealt = _dealt(clusters.join(sizes, F.col("cluster") == F.col("c")).withColumn("parts", parts), True).select("cluster", "block", "id", "exact_id", "text_key")
+    dealt = _dealt(sized.withColumn("parts", parts), True).select("cluster", "block", "id", "exact_id", "text_key")
     texts = perhaps(docs, "doc_id", filter_words(clusters, "exact_id"), True).select("doc_id", "text", F.md5("text").alias("of_text"))
     rows = dealt.join(texts, (F.col("exact_id") == F.col("doc_id")) & (F.col("text_key") == F.col("of_text"))).select("cluster", "block", "id", "text")
 
@@ -351,16 +401,15 @@ def verified(clusters: DataFrame, docs: DataFrame, least: float, block_rows: int
             ends = np.append(np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0)) + 1, len(key))
             if not last:
                 ends = ends[:-1]
-            a, b, s = [], [], 0
+            links, s = [], 0
             for e in ends.tolist():
                 ids = table.column("id").slice(s, e - s).to_numpy()
                 keep = np.unique(ids, return_index=True)[1]
                 if len(keep) > 1:
-                    x, y = _links(ids[keep], table.column("text").slice(s, e - s).combine_chunks().take(pa.array(keep)), least)
-                    a, b = a + x, b + y
+                    links += _links(ids[keep], table.column("text").slice(s, e - s).combine_chunks().take(pa.array(keep)), least)
                 s = e
             held[:] = table.slice(s).to_batches()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
 
         for batch in batches:
             held.append(batch)
@@ -370,15 +419,14 @@ def verified(clusters: DataFrame, docs: DataFrame, least: float, block_rows: int
         if held:
             yield groups(True)
 
-    return map_batches(rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block"), run, "a long, b long")
+    return map_batches(rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block"), run, "a long, b long, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node and least node of its component for every node of links (a, b), by large-star and small-star steps."""
 
-    def least_of(edges: DataFrame, by: str, other: str) -> DataFrame:
-        least = edges.groupBy(F.col(by).alias("u")).agg(F.least(F.min(other), F.min(by)).alias("m"))
-        return edges.join(least, F.col(by) == F.col("u")).select(by, other, "m")
+    def least_of(edges: DataFrame, by: str, other: str, n: int | None = None) -> DataFrame:
+        return with_sums(edges, by, {"m": F.least(F.min(other), F.min(by))}, n).select(by, other, "m")
 
     def sign(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y"))).first())
@@ -388,7 +436,8 @@ def components(links: DataFrame) -> DataFrame:
     while signed[0]:
         # large star: each node gives its greater neighbours its least one
         ways = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        large = least_of(ways, "x", "y").where("y > x and y != m").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        large = least_of(ways, "x", "y", 2 * signed[0]).where("y > x and y != m").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        large = materialize(large, "omh-large")
         # small star: each node gives its lesser neighbours, and itself, its least one
         small = least_of(large, "x", "y")
         small = small.select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("x"), F.col("m").alias("y")).unionByName(small.select("x", F.col("m").alias("y"))).where("x != y").distinct()
@@ -404,29 +453,50 @@ def _judged(docs: DataFrame, least: float = 0.8, least_equal: int = 14, band_row
     some = docs.where("doc_id is not null")
     light = materialize(sketched(some), "omh-sketches")
     # equal texts have equal sketches, so any one does
-    groups = light.groupBy("text_key").agg(F.min("doc_id").alias("exact_id"), F.any_value("bytes").alias("bytes"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
+    groups = light.groupBy("text_key").agg(F.min("doc_id").alias("exact_id"), F.count("*").alias("n"), F.any_value("bytes").alias("bytes"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
     # numbers of their own, for an id may occur with several texts
     groups = materialize(groups.withColumn("id", F.monotonically_increasing_id()), "omh-groups")
     pairs = candidates(groups.where("keys is not null").select("id", "keys", "sketch"), least_equal, band_rows)
     clusters = components(pairs)
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     clusters = materialize(clusters.join(groups, F.col("node") == F.col("id")).select("id", F.col("root").alias("cluster"), "bytes", "exact_id", "text_key"), "omh-clusters")
-    roots = components(materialize(verified(clusters, some, least, block_rows, block_bytes), "omh-verified"))
+    links = materialize(verified(clusters, some, least, block_rows, block_bytes), "omh-verified")
+    roots = components(links.select("a", "b"))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    roots = materialize(roots.join(clusters, F.col("node") == F.col("id")).select("root", "exact_id", "text_key"), "omh-members")
+    # the best link of each text, and what stands at its other end
+    ends = links.select(F.col("a").alias("of"), F.col("b").alias("to"), "similarity").unionByName(links.select(F.col("b").alias("of"), F.col("a").alias("to"), "similarity"))
+    ends = ends.groupBy("of").agg(F.max(F.struct("similarity", (-F.col("to")).alias("to"))).alias("link")).select("of", (-F.col("link.to")).alias("to"), "link.similarity")
+    ends = ends.join(clusters.select(F.col("id").alias("i"), F.col("exact_id").alias("near_id")), F.col("to") == F.col("i")).select("of", "near_id", "similarity")
+    roots = roots.join(clusters, F.col("node") == F.col("id")).join(ends, F.col("node") == F.col("of"), "left").select("root", "exact_id", "text_key", "near_id", "similarity")
     # the text with the least id stands for its class
-    first = roots.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("exact_id", "text_key")).alias("first"))
-    roots = roots.join(first, F.col("root") == F.col("r")).select(F.col("text_key").alias("t"), "first")
-    named = groups.select("text_key", "exact_id").join(roots, F.col("text_key") == F.col("t"), "left")
-    named = named.select(F.col("text_key").alias("k"), "exact_id", F.coalesce("first.exact_id", "exact_id").alias("class_id"), F.coalesce(F.col("first.text_key") == F.col("text_key"), F.lit(True)).alias("leads"))
-    return light.select("doc_id", "text_key").join(named, F.col("text_key") == F.col("k")).select("doc_id", "text_key", "class_id", "exact_id", "leads")
+    roots = with_sums(materialize(roots, "omh-members"), "root", {"first": F.min(F.struct("exact_id", "text_key"))})
+    roots = roots.select(F.col("text_key").alias("t"), "first", "near_id", "similarity")
+    named = groups.select("text_key", "exact_id", "n").join(roots, F.col("text_key") == F.col("t"), "left")
+    named = named.select(F.col("text_key").alias("k"), "exact_id", "n", F.coalesce("first.exact_id", "exact_id").alias("class_id"), F.coalesce(F.col("first.text_key") == F.col("text_key"), F.lit(True)).alias("leads"), "near_id", "similarity")
+    named = materialize(named, "omh-named")
+    # texts of more than a part of 1 / 10,000 of the rows, 10,000 at most, reach their rows by a broadcast
+    hot = F.col("n") > max(64, light.count() // 10_000)
+    rows = light.select("doc_id", "text_key")
+    same = F.col("text_key") == F.col("k")
+    one = rows.join(F.broadcast(named.where(hot)), same)
+    rest = rows.join(F.broadcast(named.where(hot).select("k")), same, "left_anti").join(named.where(~hot), same)
+    return one.unionByName(rest).select("doc_id", "text_key", "class_id", "exact_id", "leads", "near_id", "similarity")
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, class_id (the least id of its class) and exact_id (the least id with an equal text) for each row of docs (doc_id, text). Options are those of _judged."""
+    """doc_id, class_id (the least id of its class), exact_id (the least id with an equal text), near_id and near_similarity for each row of docs (doc_id, text). Options are those of _judged.
+
+    near_id is the exact_id of the text that a verified link, the best one found, joins this text to,
+    near_similarity the link's; for a text without links they are those of an equal text under a
+    lesser id, or null.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = _judged(docs, **options).select("doc_id", "class_id", "exact_id")
-    return named.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("exact_id")))
+    equal = F.col("exact_id") < F.col("doc_id")
+    named = _judged(docs, **options).select(
+        "doc_id", "class_id", "exact_id", F.coalesce("near_id", F.when(equal, F.col("exact_id"))).alias("near_id"), F.coalesce("similarity", F.when(equal, F.lit(1.0))).alias("near_similarity")
+    )
+    none = docs.where("doc_id is null").select("doc_id", *(F.lit(None).cast(kind).alias(c) for c, kind in (("class_id", "long"), ("exact_id", "long"), ("near_id", "long"), ("near_similarity", "double"))))
+    return named.unionByName(none)
 
 
 def without_near_copies(docs: DataFrame, **options) -> DataFrame:

@@ -22,15 +22,22 @@ def map_batches(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def with_sums(rows: DataFrame, key: str, sums: dict, hot: int = 10_000) -> DataFrame:
-    """rows (a written table) with aggregates over the rows of equal key, null keys left out. Keys of more than a part of 1 / hot of the rows, which can't be more than `hot`, get theirs by a broadcast, so that no task meets all rows of a key."""
-    n = rows.count()
-    most = max(64, n // hot)
+#: Rows of a table of sums (a key and a few numbers each) up to which it is broadcast whole.
+MOST_SUMS = 1 << 16
+
+
+def with_sums(rows: DataFrame, key: str, sums: dict, n: int | None = None, where: str | None = None) -> DataFrame:
+    """rows (n of them) with aggregates over the rows of equal key, null keys left out; where: a condition on `__rows`, their number, and the aggregates.
+
+    Sums are written and, while they are few, broadcast. Else the keys of more than a part of
+    1 / 10,000 of the rows, which can't be more than 10,000, get theirs by a broadcast, so that no
+    task meets all rows of a hot key; the others are joined by the key.
+    """
     summed = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__rows"), *(x.alias(name) for name, x in sums.items()))
-    if n <= most:
+    summed = materialize(summed if where is None else summed.where(where), "sums")
+    if summed.count() <= MOST_SUMS:
         return rows.join(F.broadcast(summed), F.col(key) == F.col("__key")).drop("__key", "__rows")
-    # written, so that the many rows of a key that isn't hot enough can still be dealt to several tasks
-    summed = materialize(summed, "sums")
+    most = max(64, (rows.count() if n is None else n) // 10_000)
     heavy, few = summed.where(F.col("__rows") > most), summed.where(F.col("__rows") <= most)
     one = rows.join(F.broadcast(heavy), F.col(key) == F.col("__key"))
     rest = rows.join(F.broadcast(heavy.select("__key")), F.col(key) == F.col("__key"), "left_anti").join(few, F.col(key) == F.col("__key"))

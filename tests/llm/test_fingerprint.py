@@ -1,7 +1,10 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from vicinal.llm import fingerprint as fp
@@ -18,8 +21,11 @@ def jaccard(a, b):
 
 
 def check(rows, given, error=0.15):
-    """rows: results; given: (doc_id, text)."""
-    order = sorted(given, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    """rows: results; given: (doc_id, text), whose hashes order rows of equal id."""
+    spark = SparkSession.getActiveSession()
+    texts = sorted({t or "" for _, t in given})
+    hashes = dict(zip(texts, (r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(F.xxhash64("t")).collect()), strict=True))
+    order = sorted(given, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1] or ""], r[1] or ""))
     want = []
     for k, (i, t) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
@@ -46,6 +52,19 @@ def test_documents(spark, range_rows):
     assert all(len(x) == 1 for x in equal.values())
 
 
+def test_hot_ids_hold_several_ranges(spark):
+    """A third of the rows have one id, a third none."""
+    rng = np.random.default_rng(8)
+    given = [([7, None, int(rng.integers(-50, 50))][i % 3], " ".join(f"w{x}" for x in rng.integers(0, 40, 30))) for i in range(600)]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
+    for rows in (10, 100, 5000):
+        check(fp.fingerprints(docs, range_rows=rows, block_chars=2000).collect(), given, 0.2)
+    ranges = fp._Ranges([7] * 5 + [9], 4)
+    ids = pa.array([9, 8, *[7] * 4, 6, None, None], pa.int64())
+    h = np.array([0, 0, -(2**63), -1, 0, 2**63 - 1, 0, -(2**63), 2**63 - 1])
+    assert ranges(ids, h).tolist() == [0, 1, 1, 3, 3, 5, 6, 7, 10]
+
+
 def test_likeness_has_no_bias():
     rng = np.random.default_rng(4)
     errors = []

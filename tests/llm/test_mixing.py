@@ -8,6 +8,10 @@ from vicinal.llm import mixing
 from vicinal.llm.queries import OP3_SQL, op3_mix_sources
 
 
+def own_key(row):
+    return row[0] if row[0] is not None else "null:" + hashlib.md5((row[1] or "").encode()).hexdigest()
+
+
 def brute(rows, weights=(3, 1, 2), factor=1.5, most=2.0):
     """Taken words by row: water filling and cuts in plain loops."""
     sizes = [len(re.findall(mixing.WORD, t or "")) for _, t, _ in rows]
@@ -26,7 +30,7 @@ def brute(rows, weights=(3, 1, 2), factor=1.5, most=2.0):
         open_ -= full
     taken = [0] * len(rows)
     for s in names:
-        own = sorted((hashlib.md5(f"{'' if r[0] is None else r[0]}:mix".encode()).hexdigest(), n, i) for i, (n, r) in enumerate(zip(sizes, rows)) if r[2] == s)
+        own = sorted((hashlib.md5(f"{own_key(r)}:mix".encode()).hexdigest(), n, i) for i, (n, r) in enumerate(zip(sizes, rows)) if r[2] == s)
         want = int(target[s] + 0.5)
         while want and total[s]:
             for _, n, i in own:

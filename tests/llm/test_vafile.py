@@ -37,6 +37,12 @@ def test_cells_and_blocks_of_any_size(spark, bits, block):
     assert search(spark, rows, 10, bits=bits, query_bytes=block) == brute(rows, 10)
 
 
+def test_queries_that_all_vectors_are_equal_for(spark):
+    """All scores of a zero vector are ties."""
+    rows = [(i, [0.0] * 4 if i % 100 == 0 else [math.sin(i), math.cos(i), 0.1, i / 500]) for i in range(500)]
+    assert search(spark, rows, 50) == brute(rows, 50)
+
+
 def test_packed_cells():
     rng = np.random.default_rng(1)
     for bits in range(1, 9):

@@ -8,9 +8,14 @@ corrects for. Texts of one to four words have one shingle; a text without a word
 counts as empty) has the fingerprint of zeros, like other such texts (1.0) and unlike others.
 
 The next document is the one with the next smaller id; after the least comes the greatest, null
-ids come last, and rows that share an id follow each other by text. Rows are dealt by ranges of
-ids, each range sorted, so that the next document follows in the stream; the first row of each
-range also goes to the end of the one before it. Texts are shuffled once.
+ids come last, and rows that share an id follow each other by a hash of the text, then the text.
+Rows are dealt by ranges of ids, each range sorted, so that the next document follows in the
+stream; ids that hold several ranges' rows, and null ids, are cut by the hash. The first row of
+each range also goes to the end of the one before it. Texts are shuffled once. Rows that repeat an
+id and a text stay in one range and get results of their own; an empty table gives an empty
+result; columns other than doc_id and text are not read, whatever their names. Words of long texts
+are hashed in pieces (see arrays), and a task holds about `block_chars` characters, or one text and
+the next one.
 """
 
 from __future__ import annotations
@@ -82,42 +87,76 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+class _Ranges:
+    """Ranges in the order of documents, from quantiles of the ids (those that repeat are of hot ids) and the number of ranges for null ids."""
+
+    def __init__(self, quantiles: list[int], null_parts: int):
+        self.cuts, often = np.unique(np.array(quantiles, np.int64), return_counts=True)
+        #: the groups, from the greatest ids on, are [cut, next cut); the least id of each may be cut by its hash
+        parts = np.append(often[::-1], 1) if len(often) else np.ones(1, np.int64)
+        self.parts = np.append(parts, max(1, null_parts))
+        self.offsets = np.cumsum(self.parts) - self.parts
+
+    def __call__(self, ids: pa.Array, h: np.ndarray) -> np.ndarray:
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        x = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        place = np.searchsorted(self.cuts, x, "right")
+        group = np.where(none, len(self.cuts) + 1, len(self.cuts) - place)
+        least = np.append(self.cuts, [0])[place - 1] if len(self.cuts) else np.zeros(len(x), np.int64)
+        hot = none | ((place > 0) & (x == least))
+        part = ((h.astype(U) ^ U(1 << 63)) >> U(32)) * self.parts[group].astype(U) >> U(32)
+        return self.offsets[group] + np.where(hot, part.astype(np.int64), 0)
+
+
 def fingerprints(docs: DataFrame, range_rows: int = 2_000, block_chars: int = 1 << 20) -> DataFrame:
     """One row for each row of docs (doc_id, text): SCHEMA."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    total = docs.count()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    counted = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    total = counted["n"]
     if not total:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     n_ranges = max(1, min(100_000, total // range_rows))
     probs = [i / n_ranges for i in range(1, n_ranges)]
-    cuts = np.unique(np.array(docs.approxQuantile("doc_id", probs, 0.2 / n_ranges), np.int64)) if probs else np.zeros(0, np.int64)
+    ranges = _Ranges([int(x) for x in docs.approxQuantile("doc_id", probs, 0.2 / n_ranges)] if probs and counted["known"] else [], (total - counted["known"]) // max(1, total // n_ranges))
 
-    def ranges(column: pa.Array) -> np.ndarray:
-        """0 for the greatest ids, on to the least; null ids belong to the last range."""
-        ids = column.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-        return len(cuts) - np.searchsorted(cuts, ids, "right")
+    def ordered(r: np.ndarray, ids: pa.Array, h: np.ndarray) -> np.ndarray:
+        """Rows by range, then the greater id, then the lesser hash."""
+        return np.lexsort((h, ~ids.fill_null(0).to_numpy(zero_copy_only=False), r))  # ~x falls as x rises, without overflow
 
     def heads(batches):
-        most: dict[int, int | None] = {}
+        held: tuple | None = None
         for batch in batches:
-            for r, x in zip(ranges(batch.column(0)).tolist(), batch.column(0).to_pylist(), strict=True):
-                had = most.get(r)
-                most[r] = x if had is None else had if x is None else max(had, x)
-        yield pa.RecordBatch.from_arrays([pa.array(most.keys(), pa.int32()), pa.array(most.values(), pa.int64())], ["r", "head"])
-
-    # one row for each range
-    first = {r["r"]: r["head"] for r in docs.select("doc_id").mapInArrow(heads, "r int, head long").groupBy("r").agg(F.max("head").alias("head")).collect()}
-    filled = sorted(first)
+            h = batch.column(1).to_numpy()
+            r, ids = ranges(batch.column(0), h), batch.column(0)
+            if held is not None:
+                r, h, ids = np.append(held[0], r), np.append(held[2], h), pa.concat_arrays([held[1], ids])
+            order = ordered(r, ids, h)
+            first = order[np.flatnonzero(np.diff(r[order], prepend=-1))]
+            held = r[first], ids.take(pa.array(first)), h[first]
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.int32()), held[1], pa.array(held[2])], ["r", "head", "h"])
+
+    # one row for each range: the greatest id, and of its rows the least hash
+    best = F.max(F.struct(F.coalesce("head", F.lit(0)).alias("id"), (-1 - F.col("h")).alias("h")))
+    found = docs.select("doc_id", "h").mapInArrow(heads, "r int, head long, h long").groupBy("r").agg(best.alias("best")).select("r", "best.id", (-1 - F.col("best.h")).alias("h")).collect()
+    filled = sorted(x["r"] for x in found)
+    most = int(ranges.parts.sum())
+    head_id, head_h = np.zeros(most, np.int64), np.zeros(most, np.int64)
+    for x in found:
+        head_id[x["r"]], head_h[x["r"]] = x["id"], x["h"]
     #: the range at whose end a range's first row is wanted too
-    wanted = {r: filled[i - 1] for i, r in enumerate(filled)}
+    wanted = np.zeros(most, np.int64)
+    wanted[filled] = [filled[i - 1] for i in range(len(filled))]
 
     def deal(batches):
         for batch in batches:
-            ids, own = batch.column(0).to_pylist(), ranges(batch.column(0))
-            again = np.array([i for i, (r, x) in enumerate(zip(own.tolist(), ids, strict=True)) if x == first[r]], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(np.zeros(len(own), bool)), *batch.columns], ["r", "again", "doc_id", "text"])
+            h = batch.column(1).to_numpy()
+            own, ids = ranges(batch.column(0), h), batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(np.zeros(len(own), bool)), *batch.columns], ["r", "again", "doc_id", "h", "text"])
+            again = np.flatnonzero((ids == head_id[own]) & (h == head_h[own]))
             if len(again):
-                yield pa.RecordBatch.from_arrays([pa.array([wanted[r] for r in own[again].tolist()], pa.int32()), pa.array(np.ones(len(again), bool)), *(c.take(pa.array(again)) for c in batch.columns)], ["r", "again", "doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(wanted[own[again]], pa.int32()), pa.array(np.ones(len(again), bool)), *(c.take(pa.array(again)) for c in batch.columns)], ["r", "again", "doc_id", "h", "text"])
 
     def finish(rows: list[tuple]) -> pa.RecordBatch:
         """All rows but the last one, and of each range's repeated rows only the first is a next one."""
@@ -141,7 +180,7 @@ def fingerprints(docs: DataFrame, range_rows: int = 2_000, block_chars: int = 1
         held: list[tuple] = []
         chars = 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
                 if row[1] and held and held[-1][1] and held[-1][0] == row[0]:
                     continue  # a further row that shares the id of the next range's first
                 held.append(row)
@@ -152,5 +191,5 @@ def fingerprints(docs: DataFrame, range_rows: int = 2_000, block_chars: int = 1
         if len(held) > 1:
             yield finish(held)
 
-    dealt = map_batches(docs, deal, "r int, again boolean, doc_id long, text string")
-    return map_batches(dealt.repartition("r").sortWithinPartitions("r", "again", F.desc_nulls_last("doc_id"), "text"), run, SCHEMA)
+    dealt = map_batches(docs, deal, "r int, again boolean, doc_id long, h long, text string")
+    return map_batches(dealt.repartition("r").sortWithinPartitions("r", "again", F.desc_nulls_last("doc_id"), "h", "text"), run, SCHEMA)

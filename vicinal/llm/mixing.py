@@ -9,8 +9,11 @@ the document at it counts with the words that are still wanted.
 
 A source may hold any share of the rows: it is spread over its ranges, and sums are combined
 before they are shuffled. A null text has size 0 and takes nothing; null sources form one
-source, the last; null ids share one key and are told apart by size. Rows that repeat are taken
-one after the other. An empty table gives an empty result.
+source, the last; rows with a null id have a key of their text's digest instead of the id. Rows
+that share a key are told apart by size, and rows that repeat are taken one after the other. An
+empty table gives an empty result; columns other than doc_id, text and source pass through
+mixed_documents, whatever their names, and aren't read by mix. Texts of any length are counted by
+built-in functions. The table of sources has a row for each, and is sorted in one task.
 """
 
 from __future__ import annotations
@@ -25,16 +28,17 @@ from .shared import materialize
 
 #: Runs of other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: With more sources than this the table of sources is shuffled instead of broadcast.
-MOST_BROADCAST = 50_000
+#: Bytes of the table of sources up to which it is broadcast; a larger one is joined.
+MOST_BROADCAST = 16 << 20
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def random_key(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+def random_key(doc_id: Column, text: Column, seed: str) -> Column:
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
+    return F.md5(F.concat(own, F.lit(f":{seed}")).cast("binary"))
 
 
 def targets(sizes: DataFrame, weights: Sequence[int], factor: float, most: float) -> DataFrame:
@@ -68,7 +72,7 @@ def targets(sizes: DataFrame, weights: Sequence[int], factor: float, most: float
 
 def keyed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """docs with __source, __size (words) and __key (its place in the random order of its source)."""
-    return docs.withColumns({"__source": F.col("source").cast("string"), "__size": words(F.col("text")), "__key": random_key(F.col("doc_id"), seed)})
+    return docs.withColumns({"__source": F.col("source").cast("string"), "__size": words(F.col("text")), "__key": random_key(F.col("doc_id"), F.col("text"), seed)})
 
 
 def plan_mix(rows: DataFrame, weights: Sequence[int], factor: float, most: float, range_rows: int) -> tuple[DataFrame, int]:
@@ -95,7 +99,8 @@ def plan_mix(rows: DataFrame, weights: Sequence[int], factor: float, most: float
 
 def take(rows: DataFrame, plan: DataFrame, digits: int) -> DataFrame:
     """rows (of keyed) with __source_size, __target and __taken, the words that the mix takes of each. Only rows in the range at a cut are shuffled."""
-    rows = rows.join(F.broadcast(plan) if plan.count() <= MOST_BROADCAST else plan, F.col("__source").eqNullSafe(F.col("__plan_source")))
+    size = plan.agg(F.sum(F.coalesce(F.octet_length("__plan_source"), F.lit(0)) + 96)).first()[0] or 0
+    rows = rows.join(F.broadcast(plan) if size <= MOST_BROADCAST else plan, F.col("__source").eqNullSafe(F.col("__plan_source")))
     rows = rows.withColumn("__range", F.substring("__key", 1, digits))
     at_cut = F.coalesce((F.col("__rest") > 0) & (F.col("__range") == F.col("__cut")), F.lit(False))
     whole = F.when(F.coalesce((F.col("__rest") > 0) & (F.col("__range") < F.col("__cut")), F.lit(False)), F.col("__size")).otherwise(0)

@@ -29,7 +29,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 with recursive docs as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-         md5(coalesce(cast(doc_id as varchar), '') || ':mix') as k
+         md5(coalesce(cast(doc_id as varchar), 'null:' || md5(coalesce(text, ''))) || ':mix') as k
   from documents),
 sources as (
   select source, sum(size)::bigint as s, row_number() over (order by source nulls last) as r

@@ -39,6 +39,8 @@ from pyspark.sql.window import Window
 from .shared import map_batches, materialize
 
 ROWS = 8192
+#: Queries up to which their bounds are broadcast.
+MOST_BROADCAST = 1 << 16
 MOST, LEAST = (1 << 63) - 1, -(1 << 63)
 
 
@@ -304,16 +306,25 @@ def _scored(pairs: DataFrame, small: DataFrame, asked: DataFrame) -> DataFrame:
     return joined.select("q", "row", score.alias("score"), F.filter("ids", lambda x: x["vec_id"] != F.col("query_id")).alias("ids"))
 
 
+def _by_query(rows: DataFrame, bounds: DataFrame, column: str) -> DataFrame:
+    """rows with the column of bounds (qn, column) for their q, 0 to 1 for each; a query may have any share of the rows."""
+    bounds = materialize(bounds, "va-bounds")
+    return rows.join(F.broadcast(bounds) if bounds.count() <= MOST_BROADCAST else bounds, F.col("q") == F.col("qn"), "left").select("q", "row", "upper", column)
+
+
 def _refined(left: DataFrame, small: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """q, vec_id and score: exact scores of the candidates (q, row, upper, lower), in order of their upper bounds until the kth is certain."""
-    lowest = left.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("lower"), "row"))).where(F.col("place") <= k)
+    by = Window.partitionBy("q")
+    lowest = left.withColumn("place", F.row_number().over(by.orderBy(F.desc("lower"), "row"))).where(F.col("place") <= k)
     known = lowest.groupBy(F.col("q").alias("qn")).agg(F.when(F.count("*") == k, F.min("lower")).otherwise(float("-inf")).alias("least"))
-    left = left.join(known, F.col("q") == F.col("qn")).where(F.col("upper") >= F.col("least")).select("q", "row", "upper")
-    left = materialize(left.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("upper"), "row"))), "va-left")
-    first = materialize(_scored(left.where(F.col("place") <= 2 * k), small, asked), "va-first")
-    best = first.where(F.size("ids") > 0).withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "row"))).where(F.col("place") <= k)
+    left = materialize(_by_query(left, known, "least").where(F.col("upper") >= F.col("least")).select("q", "row", "upper"), "va-left")
+    first = left.withColumn("place", F.row_number().over(by.orderBy(F.desc("upper"), "row"))).where(F.col("place") <= 2 * k)
+    first = materialize(_scored(first, small, asked), "va-first")
+    best = first.where(F.size("ids") > 0).withColumn("place", F.row_number().over(by.orderBy(F.desc("score"), "row"))).where(F.col("place") <= k)
     known = best.groupBy(F.col("q").alias("qn")).agg(F.when(F.count("*") == k, F.min("score").cast("double")).otherwise(float("-inf")).alias("least"))
-    rest = left.where(F.col("place") > 2 * k).join(known, F.col("q") == F.col("qn"), "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
+    rest = _by_query(left, known, "least").where(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
+    seen = first.select(F.col("q").alias("sq"), F.col("row").alias("sr"))
+    rest = rest.join(seen, (F.col("q") == F.col("sq")) & (F.col("row") == F.col("sr")), "left_anti")
     every = first.unionByName(_scored(rest, small, asked))
     copies = every.select("q", "score", F.explode("ids").alias("x")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("x.n"))))
     return copies.select("q", F.col("x.vec_id").alias("vec_id"), "score")

@@ -55,6 +55,49 @@ def test_remove_add_clear(spark):
     assert empty.add(rows).count == 100
 
 
+def same_cells(a, b):
+    one, two = (sorted((r["cell"], r["records"], r["ids"]) for r in x.cells("id").where("records is not null").collect()) for x in (a, b))
+    return one == two
+
+
+def test_changes_make_the_grid_of_the_records_there_are(spark):
+    """Adds and removes in many steps, against building anew; some vectors are equal."""
+    dims, equal = 3, True
+    rng = np.random.default_rng(dims)
+    x = rng.uniform(-1, 1, (400, dims)) * rng.choice([1, 0.01], (400, 1))
+    if equal:
+        x[100:140] = x[0]
+    every = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>").persist()
+    grid, there = GridIndex(every.where("id < 5")), set(range(5))
+    for step, (low, high) in enumerate([(5, 150), (150, 400)]):
+        grid = grid.add(every.where(f"id >= {low} and id < {high}"))
+        there |= set(range(low, high))
+        assert grid.count == len(there) and same_cells(grid, GridIndex(every.where(F.col("id").isin(list(there)))))
+        q = x[step * 50].tolist()
+        for distance in (0.02, 0.4)[step % 2 :]:
+            near = l2("vector", q) <= distance
+            gone = {r["id"] for r in grid.find(q, distance, near).collect()}
+            grid, there = grid.remove(q, distance, near), there - gone
+            assert grid.count == len(there) and {r["id"] for r in grid.records().collect()} == there
+        assert same_cells(grid, GridIndex(every.where(F.col("id").isin([-1, *there]))))
+    grid = grid.remove([0.0] * dims, 9.0, F.lit(True))
+    assert grid.count == 0 and grid.add(every).count == 400
+
+
+def test_other_cells_are_not_written_again(spark, monkeypatch):
+    from vicinal.operators import grid as module
+
+    written, write = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, label: written.append(label) or write(df, label))
+    grid = GridIndex(lattice(spark, 100, 49.5, 50))
+    written.clear()
+    more = grid.add(spark.createDataFrame([(100_000, "new", [0.3, 0.3])], "id long, tag string, vector array<float>"))
+    assert "grid-records" not in written and more.count == 10_001
+    assert [r["id"] for r in more.find((0.3, 0.3), 0.001, F.col("tag") == "new").collect()] == [100_000]
+    less = more.remove((0.3, 0.3), 0.001, F.col("tag") == "new")
+    assert "grid-records" not in written and less.count == 10_000 and same_cells(less, grid)
+
+
 def test_predicates(spark):
     @pandas_udf("boolean")
     def close(v):

@@ -1,7 +1,13 @@
 """A corpus from documents: language, near copies, personal data, source mix, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read again as the next one's docs. All but the last return the columns of documents.
+read again as the next one's docs. All but the last return the columns of documents; others are
+left out, whatever their names.
+
+Null, empty and letterless texts have no language and go in the first stage. Of rows that repeat,
+or share a text, one stays after the second; rows without an id all stay there. The third keeps
+every row, the fourth repeats or leaves out whole ones, and its null sources are a source of their
+own. The last gives a row for each. An empty table passes through all stages as an empty one.
 """
 
 from __future__ import annotations

@@ -63,6 +63,78 @@ def test_hdf5_needs_its_library():
             dataset_size("x.hdf5", "train")
 
 
+FAKE = """
+import numpy as np
+
+
+class Dataset:
+    def __init__(self, rows):
+        self.rows, self.shape = rows, rows.shape
+
+    def __getitem__(self, at):
+        return self.rows[at]
+
+
+class File:
+    def __init__(self, path, mode="r"):
+        self.made = np.load(path)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+    def __getitem__(self, name):
+        return Dataset(self.made[name])
+"""
+
+
+def test_hdf5_slabs(spark, tmp_path):
+    """Slabs, ids and the rank error, with a module in the place of h5py that reads the same from .npz files; on the workers too."""
+    import numpy as np
+
+    from vicinal.sources.hdf5 import Hdf5Vectors, dataset_size
+
+    (tmp_path / "h5py.py").write_text(FAKE)
+    rows = np.random.default_rng(1).uniform(-1, 1, (2503, 7))
+    np.savez(tmp_path / "a.npz", train=rows, flat=rows[:, 0], none=rows[:0])
+    path = str(tmp_path / "a.npz")
+    code = f"""
+import sys
+sys.path.insert(0, {str(tmp_path)!r})
+import h5py
+from vicinal.sources.hdf5 import BATCH, Hdf5Vectors, dataset_size
+from pyspark.sql import types as T
+assert dataset_size({path!r}, "train") == (2503, 7) and dataset_size({path!r}, "none") == (0, 7)
+try:
+    dataset_size({path!r}, "flat")
+    raise SystemExit("no error")
+except ValueError:
+    pass
+reader = Hdf5Vectors({{"path": {path!r}, "slab": "1000"}}).reader(None)
+parts = reader.partitions()
+assert [(p.start, p.stop) for p in parts] == [(0, 1000), (1000, 2000), (2000, 2503)]
+made = [b for p in parts for b in reader.read(p)]
+ids = [i for b in made for i in b.column("id").to_pylist()]
+vectors = [v for b in made for v in b.column("vector").to_pylist()]
+import numpy as np
+assert ids == list(range(2503)) and np.allclose(vectors, np.load({path!r})["train"])
+"""
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", code], check=True)
+    with_module = spark.sparkContext
+    with_module.addPyFile(str(tmp_path / "h5py.py"))
+    spark.dataSource.register(Hdf5Vectors)
+    got = spark.read.format("hdf5_vectors").option("slab", 1000).load(path)
+    assert got.count() == 2503 and got.rdd.getNumPartitions() == 3
+    (one,) = got.where("id = 2001").collect()
+    assert one["doc_id"] == 0 and np.allclose(one["vector"], rows[2001], atol=1e-6)
+    assert dataset_size(path, "train") == (2503, 7)
+
+
 def texts(spark, rows):
     return spark.createDataFrame([(d, i, None, v) for d, i, v in rows], TEXT)
 
@@ -94,6 +166,39 @@ def test_stream(spark, tmp_path):
     assert catalog.texts().count() == 4
 
 
+def test_catalog_replaces_whole_indexes(spark, tmp_path):
+    """Stale indexes go, documents that share a bucket stay, large documents have several files."""
+    catalog = VectorCatalog(spark, str(tmp_path / "c"), buckets=2)
+    catalog.add_texts(texts(spark, [(d, 100 * d + i, f"[{i / 50}, {d / 10}]") for d in range(6) for i in range(20)]))
+    catalog.add_documents(spark.createDataFrame([(d, f"d{d}") for d in range(6)], "doc_id long, name string"))
+    catalog.index_documents()
+    leaves = lambda: {(r["doc_id"], r["count"]) for r in catalog.index().where("id is not null").groupBy("doc_id").count().collect()}
+    assert leaves() == {(d, 20) for d in range(6)} and {p.name for p in (tmp_path / "c/text_index").glob("bucket=*")} <= {"bucket=0", "bucket=1"}
+    catalog.delete_document(4)
+    assert leaves() == {(d, 20) for d in range(6) if d != 4} and catalog.documents().count() == 5
+    # texts that went by another way
+    catalog._replace("text", TEXT, "text_id", [0, 1, 2, 3], None)
+    catalog.index_documents()
+    assert leaves() == {(5, 20)}
+    catalog._replace("text", TEXT, "text_id", [5], None)
+    catalog.index_documents([5])
+    assert leaves() == set() and catalog.search([0.1, 0.1], 1.0).count() == 0
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    from vicinal.plans.storage import materialize, path_exists, release, scratch
+
+    before = len(getattr(spark, "_vicinal_tables", []))
+    kept = materialize(spark.range(3).toDF("id"), "test")
+    with scratch(spark):
+        materialize(spark.range(5).toDF("id"), "test")
+        inner = spark._vicinal_tables[-1]
+        assert path_exists(spark, inner)
+    assert not path_exists(spark, inner) and kept.count() == 3
+    path = spark._vicinal_tables[-1]
+    assert release(spark, before) == 1 and not path_exists(spark, path)
+
+
 def test_points_of_any_table(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], "a"), (2, None, "b")], "k int, v array<double>, doc string")
     assert [tuple(r) for r in as_points(df, "k", "v").collect()] == [(0, 1, [1.0, 2.0])]

@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vicinal.functions.vectors import level
-from vicinal.operators.tree_build import build_index, range_values
+from vicinal.operators.stored_index import StoredIndex
+from vicinal.operators.tree_build import build_index, range_values, split_levels
 from vicinal.operators.tree_search import leaf_paths, range_search, register_search, search, search_batch, search_sql
 from vicinal.sources.generators import one_hot, random_uniform
 
@@ -55,6 +56,54 @@ def test_candidates_hold_the_box_and_three_plans_agree(spark):
         assert {int(i) for i in np.flatnonzero(np.abs(x - np.array(q, np.float32)).max(1) <= d - 1e-5)} <= one
 
 
+@pytest.mark.parametrize("mode", ["sql", "alternate"])
+@pytest.mark.parametrize("cutoff", [1000, 7])
+def test_paths_made_with_the_tree(spark, mode, cutoff):
+    given = random_uniform(spark, 150, 5, seed=9).unionByName(random_uniform(spark, 40, 5, seed=2).withColumn("doc_id", F.lit(1).cast("long")))
+    given = given.unionByName(spark.range(5).select(F.lit(2).cast("long").alias("doc_id"), "id", F.lit([0.5] * 5).cast("array<float>").alias("vector")))
+    made = build_index(given, mode, cutoff=cutoff, with_paths=True).persist()
+    rows = lambda df: sorted(map(str, df.select("doc_id", "id", "range_id", "path").collect()))
+    assert rows(leaf_paths(made)) == rows(leaf_paths(made.drop("path")))
+
+
+def test_stored_index_reads_a_part_of_it(spark, tmp_path):
+    given = random_uniform(spark, 4000, 3, seed=4).unionByName(random_uniform(spark, 300, 3, seed=5).withColumn("doc_id", F.lit(7).cast("long"))).persist()
+    paths = leaf_paths(build_index(given)).persist()
+    stored = StoredIndex.write(given, str(tmp_path / "i"), top_points=50)
+    ids = lambda df: sorted((r["doc_id"], r["text_id"]) for r in df.collect())
+    for q, domain, doc in (([0.1, 0.2, 0.3], 0.05, None), ([0.1, 0.2, 0.3], 0.05, 7), ([0.9, -0.9, 0.0], 0.3, 0), ([0.0, 0.0, 0.0], 5.0, None), ([0.0, 0.0, 0.0], None, None)):
+        assert ids(stored.search(q, domain, doc)) == ids(search(paths, q, domain, doc))
+    got = stored.range_search([0.1, 0.2, 0.3], 0.2)
+    assert sorted(map(str, got.collect())) == sorted(map(str, range_search(paths, given, [0.1, 0.2, 0.3], 0.2).collect()))
+    assert stored.reached([0.1, 0.2, 0.3], 0.05).agg(F.sum("points")).first()[0] < 1000
+    assert "PushedFilters: [" in got._jdf.queryExecution().executedPlan().toString() and "top" in got._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1][:300]
+    # more tops than values
+    from vicinal.operators import stored_index
+
+    many, stored_index.MOST_VALUES = stored_index.MOST_VALUES, 3
+    try:
+        assert ids(stored.search([0.0, 0.0, 0.0], 0.5)) == ids(search(paths, [0.0, 0.0, 0.0], 0.5))
+    finally:
+        stored_index.MOST_VALUES = many
+
+
+def test_sums_are_merged_in_rounds(spark, monkeypatch):
+    """Rows of sums are merged a few at a time; the tree stays the same."""
+    from vicinal.operators import tree_build
+
+    given = random_uniform(spark, 600, 4, seed=11).repartition(12).persist()
+    want = by_id(build_index(given, cutoff=100))
+    monkeypatch.setattr(tree_build, "MOST_SUMS", 3)
+    assert by_id(build_index(given, cutoff=100)) == want
+
+
+def test_first_levels_alone(spark):
+    given = random_uniform(spark, 200, 4, seed=12)
+    nodes = build_index(given, statistics=True).where(level(F.col("range_id")) < 3)
+    rows = lambda df: sorted(map(str, df.withColumn("stdev", F.round("stdev", 9)).collect()))
+    assert rows(split_levels(given, "sql", 3)) == rows(nodes)
+
+
 def test_exact_range(spark):
     given = random_uniform(spark, 300, 4, seed=6)
     x = np.array([r["vector"] for r in given.orderBy("id").collect()])

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.schemas import COMPONENT
+
 Vector = Column | str | Sequence[float]
 
 
@@ -64,8 +66,8 @@ def level(range_id: Column) -> Column:
 
 
 def explode_components(points: DataFrame) -> DataFrame:
-    """doc_id, id, idx and value: one row for each component."""
-    return points.select("doc_id", "id", F.posexplode("vector").alias("idx", "value"))
+    """doc_id, and id, idx and value of COMPONENT: one row for each component."""
+    return points.select("doc_id", "id", F.posexplode("vector").alias("idx", "value")).select("doc_id", *(F.col(f.name).cast(f.dataType).alias(f.name) for f in COMPONENT))
 
 
 def extent(df: DataFrame, vector: str = "vector") -> tuple[list[float], list[float]]:

@@ -5,8 +5,9 @@ dimension, high if at or below the upper bound, and both ways where the node has
 It returns the points of all leaves it reaches: every point of the box, and others. A query
 without the split dimension, or with a null domain, goes nowhere there.
 
-Three plans give the same rows:
+Four plans give the same rows:
 
+* `StoredIndex` (stored_index.py) reads only the parts of an index on disk that the box reaches,
 * `search` tests the path of every leaf (`leaf_paths`, made once for an index) by one filter,
 * `search_batch` follows the frontier of many queries level by level, by joins on node numbers,
   so that its cost follows the nodes visited, not queries x leaves,
@@ -21,28 +22,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import Vector, l2, level, linf, parse_point, vector_column
+from ..plans.schemas import SEARCH
 from ..plans.storage import MOST_BROADCAST, materialize
-
-PATH = "array<struct<dimension:int,mid:float,is_high:boolean>>"
+from .tree_build import paths_of
 
 
 def leaf_paths(index: DataFrame) -> DataFrame:
-    """doc_id, id, range_id and path of each leaf point: the splits from its parent up to the root, and the side taken."""
-    leaves = index.where("id is not null").select("doc_id", "id", "range_id")
-    depth = level(F.col("range_id"))
-    steps = F.when(depth > 0, F.transform(F.sequence(F.lit(0), F.greatest(depth - 1, F.lit(0))), lambda k: F.struct(k.alias("step"), _ancestor(F.col("range_id"), k).alias("child"))))
-    walked = leaves.withColumn("at", F.explode_outer(steps)).select("doc_id", "id", "range_id", "at.step", F.col("at.child").alias("child"))
-    walked = walked.withColumn("parent", F.expr("(child - 1) div 2"))
-    inner = index.where("id is null").select(F.col("doc_id").alias("d"), F.col("range_id").alias("r"), "dimension", "mid")
-    joined = walked.join(inner, (F.col("doc_id") == F.col("d")) & (F.col("parent") == F.col("r")), "left")
-    one = F.when(F.col("child").isNotNull(), F.struct("step", F.col("dimension"), F.col("mid"), (F.col("child") % 2 == 0).alias("is_high")))
-    grouped = joined.groupBy("doc_id", "id", "range_id").agg(F.sort_array(F.collect_list(one)).alias("steps"))
-    return grouped.select("doc_id", "id", "range_id", F.transform("steps", lambda s: F.struct(s["dimension"].alias("dimension"), s["mid"].alias("mid"), s["is_high"].alias("is_high"))).alias("path"))
-
-
-def _ancestor(range_id: Column, k: Column) -> Column:
-    """The ancestor k levels up; 0 levels up is the node itself."""
-    return F.call_function("shiftright", range_id + 1, k.cast("int")) - 1
+    """doc_id, id, range_id and path of each leaf point: the splits from its parent up to the root, and the side taken. An index built with paths has them already."""
+    leaves = index.where("id is not null")
+    if "path" in index.columns:
+        return leaves.select("doc_id", "id", "range_id", "path")
+    return paths_of(leaves.select("doc_id", "id", "range_id"), index.where("id is null"), "id").select("doc_id", "id", "range_id", "path")
 
 
 def in_reach(path: Column, low: Column, high: Column) -> Column:
@@ -50,7 +40,8 @@ def in_reach(path: Column, low: Column, high: Column) -> Column:
     return F.forall(path, lambda c: c["dimension"].isNull() | F.when(c["is_high"], c["mid"] <= F.get(high, c["dimension"])).otherwise(c["mid"] >= F.get(low, c["dimension"])))
 
 
-def _corners(point: Vector, domain: float | None | Column) -> tuple[Column, Column]:
+def corners(point: Vector, domain: float | None | Column) -> tuple[Column, Column]:
+    """The least and greatest corner of the box around a point."""
     half = (domain if isinstance(domain, Column) else F.lit(domain)).cast("float")
     v = vector_column(point)
     return F.transform(v, lambda x: x - half), F.transform(v, lambda x: x + half)
@@ -59,15 +50,15 @@ def _corners(point: Vector, domain: float | None | Column) -> tuple[Column, Colu
 def search(paths: DataFrame, point: str | Sequence[float], domain: float | None, doc_id: int | None = None) -> DataFrame:
     """doc_id and text_id of the candidates; paths is leaf_paths of an index, point numbers or a JSON array."""
     rows = paths if doc_id is None else paths.where(F.col("doc_id") == doc_id)
-    return rows.where(in_reach(F.col("path"), *_corners(parse_point(point), domain))).select("doc_id", F.col("id").alias("text_id"))
+    return rows.where(in_reach(F.col("path"), *corners(parse_point(point), domain))).select("doc_id", F.col("id").alias("text_id"))
 
 
 def search_batch(index: DataFrame, queries: DataFrame, with_visits: bool = False) -> DataFrame:
     """query_id, doc_id and text_id of the candidates of queries (query_id, vector, domain, doc_id; a null doc_id is all documents). with_visits: all nodes visited, as query_id, doc_id, range_id, text_id."""
     nodes = materialize(index.select("doc_id", "range_id", "dimension", "mid", "low_range_id", "high_range_id", "id", level(F.col("range_id")).alias("level")), "search-nodes")
     sizes = {r["level"]: r["count"] for r in nodes.groupBy("level").count().collect()}  # 62 rows at most
-    asked = queries.select("query_id", "vector", F.col("domain").cast("float").alias("domain"), F.col("doc_id").cast("long").alias("only"))
-    low, high = _corners(F.col("vector"), F.col("domain"))
+    asked = queries.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in SEARCH)).withColumnRenamed("doc_id", "only")
+    low, high = corners(F.col("vector"), F.col("domain"))
     asked = asked.select("query_id", "only", low.alias("low"), high.alias("high"))
     at = lambda k: nodes.where(F.col("level") == k).drop("level")
     small = lambda df, k: F.broadcast(df) if sizes.get(k, 0) <= MOST_BROADCAST else df
@@ -110,8 +101,8 @@ def edges(index: DataFrame) -> DataFrame:
 
 
 def search_sql(spark: SparkSession, index: DataFrame, point: str | Sequence[float], domain: float | None, doc_id: int | None = None, row_limit: int = 100_000_000) -> DataFrame:
-    """The candidates by a recursive query; only the edges that the box leaves open are recursed into."""
-    low, high = _corners(parse_point(point), domain)
+    """The candidates by a recursive query; only the edges that the box leaves open are recursed into. Sets the session's limit of rows of a recursion to row_limit, for the result is evaluated later."""
+    low, high = corners(parse_point(point), domain)
     open_ = F.col("dimension").isNull() | F.when(F.col("is_high"), F.col("mid") <= F.get(high, F.col("dimension"))).otherwise(F.col("mid") >= F.get(low, F.col("dimension")))
     spark.conf.set("spark.sql.cteRecursionRowLimit", str(row_limit))
     name = f"vicinal_{abs(hash((str(point), domain, doc_id))) % 10**12}"

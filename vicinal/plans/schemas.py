@@ -43,7 +43,8 @@ SEARCH = T.StructType([T.StructField("query_id", T.LongType(), False), T.StructF
 def as_points(df: DataFrame, id: str = "id", vector: str = "vector", doc_id: str | None = None) -> DataFrame:
     """doc_id, id and vector of any table; without a document column all points belong to document 0. Null vectors are left out."""
     doc = F.col(doc_id).cast("long") if doc_id else F.lit(0).cast("long")
-    return df.where(F.col(vector).isNotNull()).select(doc.alias("doc_id"), F.col(id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    columns = {"doc_id": doc, "id": F.col(id), "vector": F.col(vector)}
+    return df.where(F.col(vector).isNotNull()).select(*(columns[f.name].cast(f.dataType).alias(f.name) for f in POINT))
 
 
 def check_points(points: DataFrame, unique: bool = True) -> int:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,10 +27,40 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df and reads it back: plans stay short, and what is lost with an executor is read again."""
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """Writes df and reads it back: plans stay short, and what is lost with an executor is read again. The table stays until release, or until the driver ends."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not hasattr(spark, "_vicinal_tables"):
+        spark._vicinal_tables = []
+        atexit.register(_release_at_exit, spark)
+    spark._vicinal_tables.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Deletes the tables that materialize has written, but for the first `since` ones, and returns their number. DataFrames that read them end with that: call it when their results have been taken."""
+    tables = getattr(spark, "_vicinal_tables", [])
+    gone = tables[since:]
+    for path in gone:
+        delete_path(spark, path)
+    del tables[since:]
+    return len(gone)
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        release(spark)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written within, for work whose results are stored by its end."""
+    before = len(getattr(spark, "_vicinal_tables", []))
+    try:
+        yield
+    finally:
+        release(spark, before)
 
 
 def delete_path(spark: SparkSession, path: str) -> bool:

@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from .functions.vectors import denormalize, explode_components, extent, from_json_array, l2, level, linf, normalization, normalize, vector_text
 from .operators.grid import GridIndex
-from .operators.tree_build import build_index, range_values
-from .operators.tree_search import leaf_paths, range_search, range_search_batch, search, search_batch, search_sql
+from .operators.stored_index import StoredIndex
+from .operators.tree_build import build_index, range_values, split_levels
+from .operators.tree_search import leaf_paths, range_search, range_search_batch, register_search, search, search_batch, search_sql
 from .plans.catalog import VectorCatalog
 from .plans.schemas import as_points
 from .plans.storage import materialize, scratch_dir
+from .sources.files import read_arff, read_vectors, write_range_values, write_vectors
+from .sources.generators import lattice, one_hot, random_uniform
 
 DOMAIN, RADIUS = 0.1, 1.3
 
@@ -50,8 +53,7 @@ def dimension_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, sf_dir: str, depth: int, mode: str = "sql") -> DataFrame:
-    nodes = build_index(_points(spark, sf_dir), mode, statistics=True)
-    return nodes.where(level(F.col("range_id")) == depth)
+    return split_levels(_points(spark, sf_dir), mode, depth + 1).where(level(F.col("range_id")) == depth)
 
 
 def root_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,10 +131,37 @@ def box_candidates_all_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def box_candidates_one_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = leaf_paths(build_index(_points(spark, sf_dir, True), "sql"))
+    paths = leaf_paths(build_index(_points(spark, sf_dir, True).where("doc_id = 3"), "sql"))
     return _ids(search(paths, _query(spark, sf_dir), DOMAIN, 3))
 
 
+def box_candidates_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query point as a JSON array."""
+    q = _table(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.to_json("embedding")).first()[0]
+    return _ids(search(leaf_paths(build_index(_points(spark, sf_dir), "sql")), q, DOMAIN))
+
+
+def box_candidates_sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search as a table function of SQL."""
+    paths = materialize(leaf_paths(build_index(_points(spark, sf_dir), "sql")), "query-paths")
+    register_search(spark, paths)
+    q = _table(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.to_json("embedding")).first()[0]
+    return spark.sql(f"select doc_id, text_id from vicinity_search('{q}', {DOMAIN}f, null)")
+
+
+def _stored(spark: SparkSession, sf_dir: str, by_label: bool = False) -> StoredIndex:
+    """An index on disk with tops of about 64 points, since the test tables are small."""
+    return StoredIndex.write(_points(spark, sf_dir, by_label), f"{scratch_dir(spark)}/stored-{uuid.uuid4().hex}", top_points=64)
+
+
+def box_candidates_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(_stored(spark, sf_dir).search(_query(spark, sf_dir), DOMAIN))
+
+
+def box_candidates_stored_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(_stored(spark, sf_dir, True).search(_query(spark, sf_dir), DOMAIN))
+
+
 def box_candidates_recursive_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = materialize(build_index(_points(spark, sf_dir), "sql"), "query-index")
     return _ids(search_sql(spark, index, _query(spark, sf_dir), DOMAIN))
@@ -169,6 +198,12 @@ def l2_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("text_id", F.round("distance", 5).alias("distance"))
 
 
+def l2_range_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read from disk: the leaves that the box reaches, which have their vectors."""
+    found = _stored(spark, sf_dir).range_search(_query(spark, sf_dir), RADIUS)
+    return found.select("text_id", F.round("distance", 5).alias("distance"))
+
+
 def l2_range_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
     index = materialize(build_index(points, "sql"), "query-index")
@@ -240,6 +275,13 @@ def grid_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(grid.count).cast("long").alias("n"), F.lit(grid.clear().count).cast("long").alias("n_cleared"))
 
 
+def grid_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the grid with its parent, its records' ids and the sums of its centre's components."""
+    cells = _grid(spark, sf_dir).cells("vec_id")
+    centre = F.aggregate(F.transform("center", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return cells.select("cell", "parent", "records", F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))).alias("ids"), F.round(centre, 6).alias("centre"))
+
+
 def grid_part_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grid over two normalised columns; the records within 0.2 of the centre."""
     parts = _table(spark, sf_dir, "part").select("p_partkey", F.array(F.col("p_size").cast("float"), F.col("p_retailprice").cast("float")).alias("raw"))
@@ -256,16 +298,65 @@ def json_vector_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select("vec_id", from_json_array(text).alias("v"), "embedding").select("vec_id", F.size("v").alias("n"), (F.col("v") == F.col("embedding")).alias("same"))
 
 
+def _lines(spark: SparkSession, path: str, header: str) -> DataFrame:
+    """The lines of a file that a sink has written, without its header."""
+    return spark.read.text(path).where(F.col("value") != header)
+
+
 def vector_csv_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long"))
-    return _table(spark, sf_dir, "embeddings").select("vec_id", F.concat_ws("|", F.col("vec_id").cast("string"), F.concat_ws(",", F.transform(whole, lambda x: x.cast("string")))).alias("line"))
+    """The lines of the vector sink, components as thousandths."""
+    path = f"{scratch_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    write_vectors(_points(spark, sf_dir), path)
+    parts = _lines(spark, path, "ID|Vector").select(F.split("value", r"\|").alias("p"))
+    whole = F.transform(F.split(F.col("p")[1], ","), lambda x: F.round(x.cast("float").cast("double") * 1000).cast("long").cast("string"))
+    return parts.select(F.col("p")[0].cast("long").alias("vec_id"), F.concat_ws("|", F.col("p")[0], F.concat_ws(",", whole)).alias("line"))
 
 
-def _catalog(spark: SparkSession, sf_dir: str) -> VectorCatalog:
-    catalog = VectorCatalog(spark, f"{scratch_dir(spark)}/catalog-{uuid.uuid4().hex}")
+def vector_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written and read again are the same."""
+    path = f"{scratch_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    points = _points(spark, sf_dir)
+    write_vectors(points, path)
+    back = read_vectors(spark, path).select(F.col("id").alias("i"), F.col("vector").alias("v"))
+    return points.join(back, F.col("id") == F.col("i")).select(F.col("id").alias("vec_id"), F.size("v").alias("n"), (F.col("v") == F.col("vector")).alias("same"))
+
+
+def index_csv_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the index sink, read from its lines."""
+    path = f"{scratch_dir(spark)}/values-{uuid.uuid4().hex}"
+    write_range_values(range_values(build_index(_points(spark, sf_dir), "alternate", statistics=True)), path)
+    p = F.split("value", ",")
+    return _lines(spark, path, "RangeID,Dimension,Mid,ID").select(p[0].cast("long").alias("range_id"), p[1].cast("int").alias("dimension"), F.round(p[2].cast("float").cast("double"), 5).alias("mid"), p[3].cast("long").alias("id"))
+
+
+def arff_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as an ARFF file of two numbers and a class, written and read."""
+    path = f"{scratch_dir(spark)}/arff-{uuid.uuid4().hex}"
+    head = spark.range(1).select(F.explode(F.array(*(F.lit(x) for x in ("% nations", "@relation nation", "@attribute key numeric", "@attribute region numeric", "@attribute class string", "", "@DATA")))).alias("value"), F.lit(-1).alias("o"))
+    rows = _table(spark, sf_dir, "nation").select(F.concat_ws(",", F.col("n_nationkey").cast("string"), (F.col("n_regionkey") + 0.5).cast("string"), "n_name").alias("value"), F.col("n_nationkey").cast("int").alias("o"))
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    return read_arff(spark, path).select("id", "tag", F.col("vector")[0].cast("double").alias("x"), F.col("vector")[1].cast("double").alias("y"))
+
+
+def generated_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explode_components(random_uniform(spark, 200, 16, 5)).select("id", "idx", F.col("value").cast("double").alias("value"))
+
+
+def generated_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explode_components(one_hot(spark, 24)).select("id", "idx", F.col("value").cast("double").alias("value"))
+
+
+def generated_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lattice(spark, 20, 9.5, 10)
+    return rows.select("id", "tag", F.round(F.col("vector")[0].cast("double"), 5).alias("x"), F.round(F.col("vector")[1].cast("double"), 5).alias("y"))
+
+
+def _catalog(spark: SparkSession, sf_dir: str, index: bool = True) -> VectorCatalog:
+    catalog = VectorCatalog(spark, f"{scratch_dir(spark)}/catalog-{uuid.uuid4().hex}", buckets=4)
     rows = _table(spark, sf_dir, "embeddings")
     catalog.add_texts(rows.select(F.col("label").cast("long").alias("doc_id"), F.col("vec_id").alias("text_id"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("["), vector_text("embedding"), F.lit("]")).alias("vector")))
-    catalog.index_documents()
+    if index:
+        catalog.index_documents()
     return catalog
 
 
@@ -284,6 +375,23 @@ def delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.index().where("id is not null").select("doc_id", F.col("id").alias("text_id"))
 
 
+def next_text_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = _catalog(spark, sf_dir, index=False)
+    return spark.range(1).select(F.lit(catalog.next_ids()).cast("long").alias("next_id"))
+
+
+def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, texts and leaves by document, after one was renamed and one deleted."""
+    catalog = _catalog(spark, sf_dir)
+    catalog.add_documents(catalog.texts().select("doc_id").distinct().select("doc_id", F.concat(F.lit("document "), F.col("doc_id")).alias("name")))
+    catalog.add_documents(spark.createDataFrame([(1, "first")], "doc_id long, name string"))
+    catalog.delete_document(2)
+    texts = catalog.texts().groupBy(F.col("doc_id").alias("t")).agg(F.count("*").alias("texts"))
+    leaves = catalog.index().where("id is not null").groupBy(F.col("doc_id").alias("l")).agg(F.count("*").alias("leaves"))
+    docs = catalog.documents()
+    return docs.join(texts, F.col("doc_id") == F.col("t")).join(leaves, F.col("doc_id") == F.col("l")).select("doc_id", "name", "texts", "leaves")
+
+
 def unmatched_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of a brute-force range that the index's range lacks, and others: none of the former."""
     q = _query(spark, sf_dir)
@@ -298,6 +406,8 @@ QUERIES = (
     linf_range, l2_range, l2_range_batch, l2_range_join_documents, normalize_vectors, denormalize_vectors,
     grid_sign_cells, grid_leaf_cells, grid_find, grid_remove, grid_add, grid_enumerate, grid_count, grid_part_prices,
     json_vector_roundtrip, vector_csv_format, reindex_document, delete_document, unmatched_records,
+    box_candidates_json, box_candidates_sql_function, box_candidates_stored, box_candidates_stored_by_document, l2_range_stored, grid_hierarchy,
+    vector_csv_roundtrip, index_csv_format, arff_vectors, generated_uniform, generated_one_hot, generated_lattice, next_text_id, catalog_tables,
 )
 
 
@@ -378,7 +488,36 @@ def oracle_sql() -> dict[str, str]:
     tree, alternate, by_label = _tree(), _tree("alternate"), _tree(doc="label")
     near = f"from embeddings a cross join (select embedding from embeddings where vec_id = 0) b where {DISTANCE} <= {RADIUS}"
     cells = _CELLS + "select cell, count(*) as records from leaf group by cell"
+    values = alternate + "\nselect rid as range_id, case when c = 1 then -1 else dimension end::integer as dimension, case when c = 1 then 0 else round(m::double, 5) end as mid, mid as id from node"
+    p = 2_147_483_647
+    step = "(h * h + h * 40692 % {p} + {c}) % {p}"
+    h = f"(id * 48271 + idx * 69621 + {5 * 16_807 % p}) % {p}"
     return {
+        "box_candidates_json": tree + _search(DOMAIN) + CANDIDATES_SQL,
+        "box_candidates_sql_function": tree + _search(DOMAIN) + CANDIDATES_SQL,
+        "box_candidates_stored": tree + _search(DOMAIN) + CANDIDATES_SQL,
+        "box_candidates_stored_by_document": by_label + _search(DOMAIN) + CANDIDATES_SQL,
+        "l2_range_stored": f"select a.vec_id as text_id, round({DISTANCE}, 5) as distance {near}",
+        "grid_hierarchy": _CELLS
+        + """,
+cells as (select cell, count(*) as records, string_agg(vec_id::varchar, ',' order by vec_id) as ids from leaf group by cell),
+inside as (select distinct substr(cell, 1, k) as cell from (select cell, unnest(range(0, len(cell))) as k from cells)),
+nodes as (select cell, records, ids from cells union all select cell, null, '' from inside),
+dims as (select cell, records, ids, unnest(range(64)) as i from nodes),
+halved as (select *, (len(cell) + 63 - i) // 64 as n from dims),
+placed as (select *, coalesce(list_sum(list_transform(range(n), lambda k: substr(cell, (k * 64 + i + 1)::integer, 1)::integer * (1 << (n - 1 - k)::integer))), 0) as loc from halved)
+select cell, case when len(cell) > 0 then substr(cell, 1, len(cell) - 1) end as parent, any_value(records) as records, any_value(ids) as ids, round(sum((i + 1) * ((2 * loc + 1) / (1 << n::integer) - 1)), 6) as centre
+from placed group by cell""",
+        "vector_csv_roundtrip": "select vec_id, len(embedding)::integer as n, true as same from embeddings",
+        "index_csv_format": values,
+        "arff_vectors": "select row_number() over (order by n_nationkey) - 1 as id, n_name as tag, n_nationkey::double as x, n_regionkey + 0.5::double as y from nation",
+        "generated_uniform": f"""with a as (select id, idx, {h} as h from range(200) r(id), range(16) s(idx)), b as (select id, idx, {step.format(p=p, c=1_234_567)} as h from a),
+c as (select id, idx, {step.format(p=p, c=7_654_321)} as h from b), d as (select id, idx, {step.format(p=p, c=31_415_926)} as h from c)
+select id, idx::integer as idx, ((h % 16777216) / 8388608.0::double - 1)::float::double as value from d""",
+        "generated_one_hot": "select id, idx::integer as idx, case when id = idx then 1 else 0 end::double as value from range(24) r(id), range(24) s(idx)",
+        "generated_lattice": "select i * 20 + j as id, i || ',' || j as tag, round(((i - 9.5) / 10)::float::double, 5) as x, round(((j - 9.5) / 10)::float::double, 5) as y from range(20) r(i), range(20) s(j)",
+        "next_text_id": "select max(vec_id) + 1 as next_id from embeddings",
+        "catalog_tables": "select label::bigint as doc_id, case when label = 1 then 'first' else 'document ' || label end as name, count(*) as texts, count(*) as leaves from embeddings where label <> 2 group by label",
         "dimension_stats": "select i::integer as idx, round(avg(v), 5) as mean, round(coalesce(stddev_samp(v), 0), 5) as stdev, count(*) as n, (sum(id) // count(*))::bigint as mean_id from (select vec_id as id, unnest(range(len(embedding))) as i, unnest(embedding) as v from embeddings) group by i",
         "root_split": tree + "\nselect dimension, round(m::double, 5) as mid, round(sd, 5) as stdev, c as n, mid as mean_id from node where rid = 0",
         "root_assignment": tree + "\nselect id, rid::integer as range_id from assigned where lvl = 1",

@@ -18,7 +18,7 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     """id, tag and vector of an ARFF file of numeric columns and a last column with the class. Ids count the data rows, file by file, in order."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     data = lines.where("trim(value) <> '' and not startswith(ltrim(value), '@') and not startswith(ltrim(value), '%')")
-    cells = F.transform(F.split("value", ","), F.trim)
+    cells = F.transform(F.split("value", ","), lambda x: F.trim(x))  # a second parameter would be what to trim
     numbers = F.slice(cells, F.lit(1), F.size(cells) - 1).cast("array<float>")
     rows = data.select("file", "block", "at", F.element_at(cells, -1).alias("tag"), numbers.alias("vector"))
     # counts by block, then places within a block: no row meets all others

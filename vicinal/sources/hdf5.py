@@ -6,9 +6,12 @@ spark.read.format("hdf5_vectors").option("dataset", "train").load(path)
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SLAB = 100_000
+#: Rows of a partition, and of a batch within it.
+SLAB, BATCH = 100_000, 10_000
 
 
 def dataset_size(path: str, dataset: str) -> tuple[int, int]:
@@ -39,9 +42,13 @@ class _Reader(DataSourceReader):
         import h5py
 
         with h5py.File(self.path, "r") as file:
-            rows = file[self.dataset][partition.start : partition.stop]
-        for i, row in enumerate(rows):
-            yield (0, partition.start + i, [float(x) for x in row])
+            rows = np.ascontiguousarray(file[self.dataset][partition.start : partition.stop], dtype=np.float32)
+        n, dims = rows.shape
+        for i in range(0, n, BATCH):
+            part = rows[i : i + BATCH]
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * dims), pa.array(part.ravel()))
+            ids = pa.array(np.arange(partition.start + i, partition.start + i + len(part)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int64)), ids, vectors], ["doc_id", "id", "vector"])
 
 
 class Hdf5Vectors(DataSource):

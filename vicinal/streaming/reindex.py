@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.catalog import VectorCatalog
@@ -21,7 +20,7 @@ def reindex(stream: DataFrame, catalog: VectorCatalog, checkpoint: str, **trigge
         try:
             touched = [r[0] for r in rows.select("doc_id").distinct().collect()]  # the documents of one micro-batch
             if touched:
-                known = catalog.texts().where(F.col("doc_id").isin(*touched)).select("doc_id", "text_id")
+                known = catalog.texts_of(touched).select("doc_id", "text_id")
                 catalog.add_texts(rows.join(known, ["doc_id", "text_id"], "left_anti"))
                 catalog.index_documents(touched)
         finally:

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U, blocks, mix, shingle_hashes, word_hashes
-from .shared import filter_words, map_batches, materialize, perhaps, with_sums
+from .shared import filter_words, in_few, map_batches, materialize, perhaps, with_sums
 
 ENTRIES, BAND, KMER_WORDS = 40, 2, 5
 _SEEDS = mix(np.arange(1, ENTRIES + 1, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
@@ -437,19 +437,19 @@ def components(links: DataFrame) -> DataFrame:
         # large star: each node gives its greater neighbours its least one
         ways = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         large = least_of(ways, "x", "y", 2 * signed[0]).where("y > x and y != m").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        large = materialize(large, "omh-large")
+        large = materialize(in_few(large, 2 * signed[0]), "omh-large")
         # small star: each node gives its lesser neighbours, and itself, its least one
-        small = least_of(large, "x", "y")
+        small = least_of(large, "x", "y", 2 * signed[0])
         small = small.select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("x"), F.col("m").alias("y")).unionByName(small.select("x", F.col("m").alias("y"))).where("x != y").distinct()
-        edges = materialize(small, "omh-stars")
+        edges = materialize(in_few(small, 2 * signed[0]), "omh-stars")
         before, signed = signed, sign(edges)
         if signed == before:
             break
     return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
-def _judged(docs: DataFrame, least: float = 0.8, least_equal: int = 14, band_rows: int = 4_096, block_rows: int = 1_024, block_bytes: int = 1 << 23) -> DataFrame:
-    """doc_id, text_key, class_id, exact_id and leads (whether the text stands for its class) for each row of docs (doc_id, text) with an id."""
+def _judged(docs: DataFrame, least: float = 0.8, least_equal: int = 14, band_rows: int = 4_096, block_rows: int = 1_024, block_bytes: int = 1 << 23, with_links: bool = False) -> DataFrame:
+    """doc_id, text_key, class_id, exact_id, leads (whether the text stands for its class), and near_id and similarity if with_links, for each row of docs (doc_id, text) with an id."""
     some = docs.where("doc_id is not null")
     light = materialize(sketched(some), "omh-sketches")
     # equal texts have equal sketches, so any one does
@@ -463,16 +463,19 @@ def _judged(docs: DataFrame, least: float = 0.8, least_equal: int = 14, band_row
     links = materialize(verified(clusters, some, least, block_rows, block_bytes), "omh-verified")
     roots = components(links.select("a", "b"))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    # the best link of each text, and what stands at its other end
-    ends = links.select(F.col("a").alias("of"), F.col("b").alias("to"), "similarity").unionByName(links.select(F.col("b").alias("of"), F.col("a").alias("to"), "similarity"))
-    ends = ends.groupBy("of").agg(F.max(F.struct("similarity", (-F.col("to")).alias("to"))).alias("link")).select("of", (-F.col("link.to")).alias("to"), "link.similarity")
-    ends = ends.join(clusters.select(F.col("id").alias("i"), F.col("exact_id").alias("near_id")), F.col("to") == F.col("i")).select("of", "near_id", "similarity")
-    roots = roots.join(clusters, F.col("node") == F.col("id")).join(ends, F.col("node") == F.col("of"), "left").select("root", "exact_id", "text_key", "near_id", "similarity")
+    members = roots.join(clusters, F.col("node") == F.col("id")).select("node", "root", "exact_id", "text_key")
+    near = ["near_id", "similarity"] if with_links else []
+    if with_links:
+        # the best link of each text, and what stands at its other end
+        ends = links.select(F.col("a").alias("of"), F.col("b").alias("to"), "similarity").unionByName(links.select(F.col("b").alias("of"), F.col("a").alias("to"), "similarity"))
+        ends = ends.groupBy("of").agg(F.max(F.struct("similarity", (-F.col("to")).alias("to"))).alias("link")).select("of", (-F.col("link.to")).alias("to"), "link.similarity")
+        ends = ends.join(clusters.select(F.col("id").alias("i"), F.col("exact_id").alias("near_id")), F.col("to") == F.col("i")).select("of", *near)
+        members = members.join(ends, F.col("node") == F.col("of"), "left")
     # the text with the least id stands for its class
-    roots = with_sums(materialize(roots, "omh-members"), "root", {"first": F.min(F.struct("exact_id", "text_key"))})
-    roots = roots.select(F.col("text_key").alias("t"), "first", "near_id", "similarity")
+    roots = with_sums(materialize(members.select("root", "exact_id", "text_key", *near), "omh-members"), "root", {"first": F.min(F.struct("exact_id", "text_key"))})
+    roots = roots.select(F.col("text_key").alias("t"), "first", *near)
     named = groups.select("text_key", "exact_id", "n").join(roots, F.col("text_key") == F.col("t"), "left")
-    named = named.select(F.col("text_key").alias("k"), "exact_id", "n", F.coalesce("first.exact_id", "exact_id").alias("class_id"), F.coalesce(F.col("first.text_key") == F.col("text_key"), F.lit(True)).alias("leads"), "near_id", "similarity")
+    named = named.select(F.col("text_key").alias("k"), "exact_id", "n", F.coalesce("first.exact_id", "exact_id").alias("class_id"), F.coalesce(F.col("first.text_key") == F.col("text_key"), F.lit(True)).alias("leads"), *near)
     named = materialize(named, "omh-named")
     # texts of more than a part of 1 / 10,000 of the rows, 10,000 at most, reach their rows by a broadcast
     hot = F.col("n") > max(64, light.count() // 10_000)
@@ -480,7 +483,7 @@ def _judged(docs: DataFrame, least: float = 0.8, least_equal: int = 14, band_row
     same = F.col("text_key") == F.col("k")
     one = rows.join(F.broadcast(named.where(hot)), same)
     rest = rows.join(F.broadcast(named.where(hot).select("k")), same, "left_anti").join(named.where(~hot), same)
-    return one.unionByName(rest).select("doc_id", "text_key", "class_id", "exact_id", "leads", "near_id", "similarity")
+    return one.unionByName(rest).select("doc_id", "text_key", "class_id", "exact_id", "leads", *near)
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:
@@ -492,7 +495,7 @@ def classes(docs: DataFrame, **options) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     equal = F.col("exact_id") < F.col("doc_id")
-    named = _judged(docs, **options).select(
+    named = _judged(docs, **options, with_links=True).select(
         "doc_id", "class_id", "exact_id", F.coalesce("near_id", F.when(equal, F.col("exact_id"))).alias("near_id"), F.coalesce("similarity", F.when(equal, F.lit(1.0))).alias("near_similarity")
     )
     none = docs.where("doc_id is null").select("doc_id", *(F.lit(None).cast(kind).alias(c) for c, kind in (("class_id", "long"), ("exact_id", "long"), ("near_id", "long"), ("near_similarity", "double"))))

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from ..plans.storage import materialize, scratch_dir
 
-__all__ = ["BATCH_BYTES", "FILTER_WORDS", "filter_words", "held_out", "map_batches", "materialize", "perhaps", "scratch_dir", "table", "with_sums"]
+__all__ = ["BATCH_BYTES", "FILTER_WORDS", "filter_words", "held_out", "in_few", "map_batches", "materialize", "perhaps", "scratch_dir", "table", "with_sums"]
 
 BATCH_BYTES = 2 << 20
 
@@ -22,6 +22,11 @@ def map_batches(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def in_few(rows: DataFrame, n: int) -> DataFrame:
+    """rows, of at most n, in no more partitions than they need, so that small tables aren't written as hundreds of files."""
+    return rows.coalesce(max(8, n // 50_000))
+
+
 #: Rows of a table of sums (a key and a few numbers each) up to which it is broadcast whole.
 MOST_SUMS = 1 << 16
 
@@ -34,7 +39,8 @@ def with_sums(rows: DataFrame, key: str, sums: dict, n: int | None = None, where
     task meets all rows of a hot key; the others are joined by the key.
     """
     summed = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__rows"), *(x.alias(name) for name, x in sums.items()))
-    summed = materialize(summed if where is None else summed.where(where), "sums")
+    summed = summed if where is None else summed.where(where)
+    summed = materialize(summed if n is None else in_few(summed, n), "sums")
     if summed.count() <= MOST_SUMS:
         return rows.join(F.broadcast(summed), F.col(key) == F.col("__key")).drop("__key", "__rows")
     most = max(64, (rows.count() if n is None else n) // 10_000)

@@ -15,7 +15,7 @@ tree gives every shard what it still has room for.
 A quantile is found by histograms: each pass sums bytes by node and bin over the interval that
 still holds the cut (of a 62-bit number, first the dimension and then the tie-break), with partial
 sums before the shuffle, until the bin at the cut holds less than `tolerance` of a shard's bytes,
-or one value. What comes to the driver are at most MOST_BINS counts a pass. Levels with more than
+or one value; the next interval is what the bin's points take up, so two passes mostly do. What comes to the driver are at most MOST_BINS counts a pass. Levels with more than
 `most_nodes` nodes are split by running sums instead: points are dealt once by the nodes there are
 then, and all further levels sort them within their tasks. No number of shards is too large.
 
@@ -29,6 +29,7 @@ names. Texts of any length are read once, by built-in functions.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -78,9 +79,11 @@ def bundles(docs: DataFrame) -> DataFrame:
 
 
 def _table(spark, columns: str, rows: list[tuple]) -> DataFrame:
-    """A table of numbers that the driver has."""
+    """A table of numbers that the driver has, made by the JVM."""
     names = columns.split(", ")
-    return F.broadcast(spark.createDataFrame(rows, ", ".join(f"{c} {'double' if any(isinstance(r[i], float) for r in rows) else 'long'}" for i, c in enumerate(names))))
+    kinds = ["double" if any(isinstance(r[i], float) for r in rows) else "bigint" for i in range(len(names))]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{','.join(f'{n}:{k}' for n, k in zip(names, kinds, strict=True))}>>"))))
 
 
 def _place(dim: Column) -> Column:
@@ -97,7 +100,7 @@ def split(units: DataFrame, room: Sequence[float], tolerance: float = 0.002, mos
     for x in room:
         before.append(before[-1] + x)
     per_shard = before[-1] / shards
-    rows = units.withColumn("shard", F.lit(0).cast("long"))
+    rows = units if "shard" in units.columns else units.withColumn("shard", F.lit(0).cast("long"))
     nodes, spans, level = {0: shards}, None, 0
     ends = [f(f"d_{n}").alias(f"{n}_{w}") for n in DIMENSIONS for f, w in ((F.min, "lo"), (F.max, "hi"))]
     while any(last - node > 1 for node, last in nodes.items()) and len(nodes) <= most_nodes:
@@ -120,19 +123,19 @@ def split(units: DataFrame, room: Sequence[float], tolerance: float = 0.002, mos
             at = rows.join(_table(spark, "node, dim, low, step", [(n, *x) for n, x in asked.items()]), F.col("shard") == F.col("node"))
             at = at.withColumn("offset", _place(F.col("dim")) - F.col("low")).where((F.col("offset") >= 0) & (F.col("offset") < F.col("step") * bins))
             counted: dict[int, list] = {n: [] for n in open_}
-            for r in at.groupBy("node", F.expr("offset div step").alias("bin")).agg(F.sum("weight").alias("bytes")).collect():
-                counted[r["node"]].append((r["bin"], r["bytes"]))
+            for r in at.groupBy("node", F.expr("offset div step").alias("bin")).agg(F.sum("weight").alias("bytes"), F.min("offset").alias("lo"), F.max("offset").alias("hi")).collect():
+                counted[r["node"]].append((r["bin"], r["bytes"], r["lo"], r["hi"]))
             still = {}
             for n, (dim, low, _, goal, below) in open_.items():
                 step, inside = asked[n][2], below
-                for b, x in sorted(counted[n]):
+                for _, x, first, last in sorted(counted[n]):
                     if inside + x >= goal:
                         break
                     inside += x
-                if x > tolerance * per_shard and step > 1:
-                    still[n] = (dim, low + b * step, step, goal, inside)
+                if x > tolerance * per_shard and first < last:
+                    still[n] = (dim, low + first, last + 1 - first, goal, inside)
                 else:  # the nearer edge of the bin
-                    cuts[n] = (dim, low + (b + (inside + x - goal < goal - inside)) * step)
+                    cuts[n] = (dim, low + (last + 1 if inside + x - goal < goal - inside else first))
             open_ = still
         if cuts:
             to = _table(spark, "node, dim, cut, right", [(n, *x, middle[n]) for n, x in cuts.items()])
@@ -224,7 +227,7 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
         cut = cut.withColumn("n", F.expr("n div parts") + (F.col("part") < F.col("n") % F.col("parts")).cast("long"))
         tie = F.shiftleft(_top(F.xxhash64("key"), TEXT_BITS), ID_BITS) + _top(F.xxhash64("doc_id", "part"), ID_BITS)
         units = units.unionByName(cut.select("key", "doc_id", "part", "n", "size", "text_crc32", (F.col("n") * F.col("size")).alias("weight"), bits(F.col("d_size")).alias("d_size"), F.col("s").alias("d_source"), F.col("l").alias("d_lang"), tie.alias("tie")))
-    units = materialize(split(materialize(units, "shard-units"), room, **options), "shard-placed")
+    units = materialize(split(materialize(units.withColumn("shard", F.lit(0).cast("long")), "shard-units"), room, **options), "shard-placed")
     columns = ["doc_id", "size", "text_crc32", "n", "shard"]
     whole = units.where("n is null").select(F.col("key").alias("k"), "shard")
     placed = rows.join(whole, F.col("key") == F.col("k")).select(*columns)

@@ -48,11 +48,12 @@ def brute(rows, least=0.8):
 
     made = {i: kmers(t) for i, t in ids.items() if isinstance(t, str)}
     order = sorted(i for i in made if made[i])
+    counted = {i: collections.Counter(made[i]) for i in order}
     for n, i in enumerate(order):
         for j in order[:n]:
             a, b = made[i], made[j]
-            ca, cb = collections.Counter(a), collections.Counter(b)
-            if sum((ca & cb).values()) >= least * (len(a) + len(b)) / (1 + least) - 1e-9:
+            needed = least * (len(a) + len(b)) / (1 + least) - 1e-9
+            if min(len(a), len(b)) >= needed and not counted[i].keys().isdisjoint(counted[j]) and sum((counted[i] & counted[j]).values()) >= needed:
                 common = lcs(a, b)
                 if common / (len(a) + len(b) - common) >= least:
                     x, y = sorted((root(i), root(j)))
@@ -247,6 +248,22 @@ def test_bridged_groups_larger_than_a_block(spark, band_rows):
     assert got == want and 1 < len(set(group.tolist())) < 6
 
 
+def test_large_clusters_meet_by_their_groups(spark):
+    """A cluster of many blocks whose texts are all linked, and one with texts that link by a bridge only, against all pairs."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(120)]
+    rows = [" ".join(edited(rng, words, rng.randrange(0, 3))) for _ in range(150)]
+    one, two = words[:60] + [f"a{k}" for k in range(60)], [f"b{k}" for k in range(22)] + words[22:60] + [f"a{k}" for k in range(60)]
+    rows += [" ".join(edited(rng, one, 1)) for _ in range(20)] + [" ".join(edited(rng, two, 1)) for _ in range(20)]
+    rows += [" ".join([f"b{k}" for k in range(11)] + one[11:])]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for options in ({"block_rows": 7}, {"block_rows": 40}, {}):
+        assert {r["doc_id"]: r["class_id"] for r in omh.classes(docs, least_equal=6, **options).collect()} == want, options
+
+
 def test_links_are_verified(spark):
     """The link of each text is one of similarity 0.8 or more to another of its class."""
     rows = copies(seed=3, groups=4, size=15)

@@ -14,8 +14,10 @@
    one block holds them; if their number doesn't fall, all pairs of blocks are compared. Of split
    bands, all texts outside the largest component so far are then compared with all texts.
 4. Connected components of the candidates are clusters, which hold every link. A cluster's texts
-   come together once, in blocks of bounded rows and bytes; a cluster of more than one block has
-   every pair of its blocks compared. Within a block the common labelled k-mers of all texts are
+   come together in blocks of bounded rows and bytes. Of a cluster of more than one block, a few
+   texts of every linked group of a block meet those of the others in a next round, and so on;
+   then all texts outside the cluster's largest group so far are compared with all its texts.
+   Within a block the common labelled k-mers of all texts are
    counted exactly by an index of k-mers; where they suffice for similarity 0.8 and the texts
    aren't linked yet by way of others, a banded alignment decides: L, the longest common
    subsequence of both k-mer sequences within the band of offsets that the similarity allows, over
@@ -46,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U, blocks, mix, shingle_hashes, word_hashes
-from .shared import filter_words, in_few, map_batches, materialize, perhaps, with_sums
+from .shared import MOST_SUMS, filter_words, in_few, map_batches, materialize, perhaps, with_sums
 
 ENTRIES, BAND, KMER_WORDS = 40, 2, 5
 _SEEDS = mix(np.arange(1, ENTRIES + 1, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
@@ -206,9 +208,9 @@ def candidates(groups: DataFrame, least_equal: int, band_rows: int) -> DataFrame
     """Pairs of candidates that connect all candidates, from rows (id, keys, sketch)."""
     sketch = groups.select(F.col("id").alias("i"), "sketch")
     rows = groups.select(F.explode("keys").alias("key"), "id")
-    pairs, before, every_pair, split = None, None, False, None
+    pairs, before, every_pair, split, n = None, None, False, None, groups.count() * (ENTRIES // BAND)
     while True:
-        dealt = with_sums(rows, "key", {"n": F.count("*")}, where="__rows > 1")
+        dealt = with_sums(rows, "key", {"n": F.count("*")}, n, where="__rows > 1")
         dealt = _dealt(dealt.withColumn("parts", F.ceil(F.col("n") / band_rows)), every_pair, F.col("key"))
         dealt = dealt.select("key", "block", "id").join(sketch, F.col("id") == F.col("i"))
         out = materialize(_blocks(dealt.select("key", "block", "id", "sketch"), least_equal), "omh-pairs")
@@ -221,7 +223,7 @@ def candidates(groups: DataFrame, least_equal: int, band_rows: int) -> DataFrame
         if not left:
             return pairs.distinct() if split is None else _with_rest(groups, pairs.distinct(), split, least_equal, band_rows)
         # while those sent on become fewer they meet in blocks again; else every pair of blocks is compared
-        every_pair, before = before is not None and left > 0.8 * before, left
+        every_pair, before, n = before is not None and left > 0.8 * before, left, left
 
 
 def _with_rest(groups: DataFrame, pairs: DataFrame, split: DataFrame, least_equal: int, band_rows: int) -> DataFrame:
@@ -337,14 +339,14 @@ def _common_by_bits(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return common + width - row.bit_count()
 
 
-def _links(ids: np.ndarray, texts: pa.Array, least: float) -> list[tuple[int, int, float]]:
-    """Links (two ids, similarity) that connect what all links between a block's texts connect."""
+def _links(ids: np.ndarray, texts: pa.Array, least: float, of: np.ndarray | None = None) -> tuple[list[tuple[int, int, float]], np.ndarray]:
+    """Links (two ids, similarity) that connect what all links between a block's texts connect, but for what is known to be (equal numbers `of`); and the group of each text."""
     made = [shingle_hashes(*word_hashes(data, at), KMER_WORDS) for _, _, data, at in blocks(texts)]
     counts = np.concatenate([c for _, c in made])
     shingles = np.concatenate([x for x, _ in made])
     starts = np.concatenate([[0], np.cumsum(counts)])
     m = len(ids)
-    root = np.arange(m)
+    root = np.arange(m) if of is None else np.unique(of, return_inverse=True)[1].ravel()
     if m == 2:
         pairs = [(0, 1)]
     else:
@@ -364,7 +366,7 @@ def _links(ids: np.ndarray, texts: pa.Array, least: float) -> list[tuple[int, in
         if root[i] != root[j] and (s := similarity(shingles[starts[i] : starts[i + 1]], shingles[starts[j] : starts[j + 1]], least)) >= least:
             root[root == root[j]] = root[i]
             found.append((int(ids[i]), int(ids[j]), s))
-    return found
+    return found, root
 
 
 def _near(order, rank, root, counts, starts, name, often, first, posts, least):
@@ -384,13 +386,8 @@ def _near(order, rank, root, counts, starts, name, often, first, posts, least):
             yield i, j
 
 
-def verified(clusters: DataFrame, docs: DataFrame, least: float, block_rows: int, block_bytes: int) -> DataFrame:
-    """Links (a, b, similarity) that connect all links, from clusters (id, cluster, bytes, exact_id, text_key) and docs (doc_id, text). Of docs, those outside any cluster are left where they are."""
-    sized = with_sums(clusters, "cluster", {"n": F.count("*"), "all_bytes": F.sum("bytes")})
-    parts = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("all_bytes") / block_bytes))
-    dealt = _dealt(sized.withColumn("parts", parts), True).select("cluster", "block", "id", "exact_id", "text_key")
-    texts = perhaps(docs, "doc_id", filter_words(clusters, "exact_id"), True).select("doc_id", "text", F.md5("text").alias("of_text"))
-    rows = dealt.join(texts, (F.col("exact_id") == F.col("doc_id")) & (F.col("text_key") == F.col("of_text"))).select("cluster", "block", "id", "text")
+def _verify(rows: DataFrame, least: float, sent: int = 2) -> DataFrame:
+    """Of rows (cluster, block, id, of, text): links as (a, b, similarity) and, of blocks numbered from 0, the first `sent` texts of each linked group as (cluster, a), told apart by `leads`. Texts with equal `of` are known to be linked."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -401,15 +398,24 @@ def verified(clusters: DataFrame, docs: DataFrame, least: float, block_rows: int
             ends = np.append(np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0)) + 1, len(key))
             if not last:
                 ends = ends[:-1]
-            links, s = [], 0
+            links, leaders, s = [], [], 0
             for e in ends.tolist():
                 ids = table.column("id").slice(s, e - s).to_numpy()
                 keep = np.unique(ids, return_index=True)[1]
+                group = np.arange(len(keep))
                 if len(keep) > 1:
-                    links += _links(ids[keep], table.column("text").slice(s, e - s).combine_chunks().take(pa.array(keep)), least)
+                    found, group = _links(ids[keep], table.column("text").slice(s, e - s).combine_chunks().take(pa.array(keep)), least, table.column("of").slice(s, e - s).to_numpy()[keep])
+                    links += found
+                if block[s] >= 0:
+                    order = np.argsort(group, kind="stable")
+                    starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+                    place = np.arange(len(keep)) - np.repeat(starts, np.diff(np.append(starts, len(keep))))
+                    leaders += [(int(key[s]), int(i)) for i in ids[keep][order[place < sent]]]
                 s = e
             held[:] = table.slice(s).to_batches()
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            flat = [(False, None, *x) for x in links] + [(True, c, i, None, None) for c, i in leaders]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in flat], kind) for k, kind in enumerate(kinds)], ["leads", "cluster", "a", "b", "similarity"])
 
         for batch in batches:
             held.append(batch)
@@ -419,7 +425,61 @@ def verified(clusters: DataFrame, docs: DataFrame, least: float, block_rows: int
         if held:
             yield groups(True)
 
-    return map_batches(rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block"), run, "a long, b long, similarity double")
+    rows = rows.select("cluster", "block", "id", "of", "text")
+    return map_batches(rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block"), run, "leads boolean, cluster long, a long, b long, similarity double")
+
+
+def verified(clusters: DataFrame, docs: DataFrame, least: float, block_rows: int, block_bytes: int) -> DataFrame:
+    """Links (a, b, similarity) that connect all links, from clusters (id, cluster, bytes, exact_id, text_key) and docs (doc_id, text). Of docs, those outside any cluster are left where they are."""
+
+    def parts(rows: DataFrame) -> DataFrame:
+        sized = with_sums(rows, "cluster", {"n": F.count("*"), "all_bytes": F.sum("bytes")})
+        return sized.withColumn("parts", F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("all_bytes") / block_bytes))).drop("n", "all_bytes")
+
+    sized = materialize(parts(clusters), "omh-sized")
+    texts = perhaps(docs, "doc_id", filter_words(clusters, "exact_id"), True).select("doc_id", "text", F.md5("text").alias("of_text"))
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        return rows.join(texts, (F.col("exact_id") == F.col("doc_id")) & (F.col("text_key") == F.col("of_text"))).withColumn("of", F.col("id")).select("cluster", "id", "bytes", "parts", "of", "text")
+
+    links = ["a", "b", "similarity"]
+    one = _verify(with_texts(sized.where("parts = 1")).withColumn("block", F.lit(-1).cast("long")), least).select(*links)
+    if sized.where("parts > 1").isEmpty():
+        return one
+    return one.unionByName(_split_clusters(materialize(with_texts(sized.where("parts > 1")).dropDuplicates(["id"]), "omh-split-texts"), parts, least, links))
+
+
+def _split_clusters(rows: DataFrame, parts, least: float, links: list[str]) -> DataFrame:
+    """The same for clusters of several blocks, from rows (cluster, id, bytes, parts, of, text)."""
+    now, before, found, turn = rows, rows.count(), None, 0
+    while True:
+        # texts of each linked group of a block meet those of the others, while they become fewer
+        dealt = now.withColumn("block", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id", F.lit(turn)), F.col("parts"))).otherwise(-1).cast("long"))
+        out = materialize(_verify(dealt, least), "omh-verified")
+        part = out.where(~F.col("leads")).select(*links)
+        found = part if found is None else found.unionByName(part)
+        led = out.where("leads").select(F.col("a").alias("i"))
+        left = led.count()
+        if not left or left > 0.8 * before:
+            break
+        now, before, turn = parts(rows.join(led, F.col("id") == F.col("i"), "left_semi").drop("parts")), left, turn + 1
+    known = components(found.select("a", "b"))
+    known = known.unionByName(known.select(F.col("root").alias("node"), "root").distinct())
+    rows = rows.drop("of").join(known, F.col("id") == F.col("node"), "left").withColumn("of", F.coalesce("root", "id")).select("cluster", "id", "parts", "of", "text")
+    groups = rows.groupBy("cluster", "of").agg(F.count("*").alias("m"))
+    tops = groups.groupBy(F.col("cluster").alias("c")).agg(F.sum("m").alias("n"), F.max(F.struct("m", "of")).alias("top")).where("n > top.m")
+    tops = materialize(tops.select("c", F.col("top.of").alias("top"), (F.col("n") - F.col("top.m")).alias("few"), "n"), "omh-tops")
+    if tops.isEmpty():
+        return found
+    rows = rows.join(F.broadcast(tops), F.col("cluster") == F.col("c")) if tops.count() <= MOST_SUMS else rows.join(tops, F.col("cluster") == F.col("c"))
+    # what lies outside the largest group (blocks x) meets all (blocks y), half a block of each
+    x, y = F.ceil(2 * F.col("parts") * F.col("few") / F.col("n")), 2 * F.col("parts")
+    rows = rows.withColumn("xs", x).withColumn("ys", y).withColumn("h", F.xxhash64("id", F.lit("rest")))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rest = rows.where("of <> top").withColumn("x", F.pmod("h", F.col("xs"))).withColumn("y", each("ys"))
+    every = rows.withColumn("y", F.pmod("h", F.col("ys"))).withColumn("x", each("xs"))
+    dealt = rest.unionByName(every).withColumn("block", (-2 - (F.col("x") * F.col("ys") + F.col("y"))).cast("long"))
+    return found.unionByName(_verify(dealt, least).select(*links))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -437,7 +497,7 @@ def components(links: DataFrame) -> DataFrame:
         # large star: each node gives its greater neighbours its least one
         ways = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         large = least_of(ways, "x", "y", 2 * signed[0]).where("y > x and y != m").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        large = materialize(in_few(large, 2 * signed[0]), "omh-large")
+        large = materialize(in_few(large, 2 * signed[0]), "omh-large") if signed[0] > MOST_SUMS else in_few(large, 2 * signed[0])
         # small star: each node gives its lesser neighbours, and itself, its least one
         small = least_of(large, "x", "y", 2 * signed[0])
         small = small.select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("x"), F.col("m").alias("y")).unionByName(small.select("x", F.col("m").alias("y"))).where("x != y").distinct()

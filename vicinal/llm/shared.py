@@ -34,16 +34,18 @@ MOST_SUMS = 1 << 16
 def with_sums(rows: DataFrame, key: str, sums: dict, n: int | None = None, where: str | None = None) -> DataFrame:
     """rows (n of them) with aggregates over the rows of equal key, null keys left out; where: a condition on `__rows`, their number, and the aggregates.
 
-    Sums are written and, while they are few, broadcast. Else the keys of more than a part of
-    1 / 10,000 of the rows, which can't be more than 10,000, get theirs by a broadcast, so that no
-    task meets all rows of a hot key; the others are joined by the key.
+    While they are few, sums are broadcast. Else they are written, and the keys of more than a part
+    of 1 / 10,000 of the rows, which can't be more than 10,000, get theirs by a broadcast, so that
+    no task meets all rows of a hot key; the others are joined by the key.
     """
+    n = rows.count() if n is None else n
     summed = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__rows"), *(x.alias(name) for name, x in sums.items()))
     summed = summed if where is None else summed.where(where)
-    summed = materialize(summed if n is None else in_few(summed, n), "sums")
-    if summed.count() <= MOST_SUMS:
+    if n > MOST_SUMS:
+        summed = materialize(in_few(summed, n), "sums")
+    if n <= MOST_SUMS or summed.count() <= MOST_SUMS:
         return rows.join(F.broadcast(summed), F.col(key) == F.col("__key")).drop("__key", "__rows")
-    most = max(64, (rows.count() if n is None else n) // 10_000)
+    most = max(64, n // 10_000)
     heavy, few = summed.where(F.col("__rows") > most), summed.where(F.col("__rows") <= most)
     one = rows.join(F.broadcast(heavy), F.col(key) == F.col("__key"))
     rest = rows.join(F.broadcast(heavy.select("__key")), F.col(key) == F.col("__key"), "left_anti").join(few, F.col(key) == F.col("__key"))

@@ -46,10 +46,16 @@ def test_vector_files(spark, tmp_path):
     assert lines[0] == "RangeID,Dimension,Mid,ID" and len(lines) == 40
 
 
+def test_wide_dimensions_are_an_error(spark, tmp_path):
+    values = spark.createDataFrame([(0, 40_000, 0.5, 1)], "range_id long, dimension int, mid float, id long")
+    with pytest.raises(Exception, match="CAST_OVERFLOW"):
+        write_range_values(values, str(tmp_path / "r"))
+
+
 def test_arff(spark, tmp_path):
-    (tmp_path / "a.arff").write_text("% about\n@relation r\n@attribute x numeric\n@attribute y numeric\n@attribute class {a,b}\n\n@data\n1,2,a\n3.5, 4,b\n")
+    (tmp_path / "a.arff").write_text("% about\n@relation r\n@attribute x numeric\n@attribute y numeric\n@attribute class {a,b}\n\n@data\n1,2,a\n3.5, 4,b\n10, 11.1 ,a\n")
     got = [tuple(r) for r in read_arff(spark, str(tmp_path / "a.arff")).orderBy("id").collect()]
-    assert got == [(0, "a", [1.0, 2.0]), (1, "b", [3.5, 4.0])]
+    assert got[:2] == [(0, "a", [1.0, 2.0]), (1, "b", [3.5, 4.0])] and got[2][:2] == (2, "a") and abs(got[2][2][1] - 11.1) < 1e-5 and got[2][2][0] == 10
 
 
 def test_hdf5_needs_its_library():

@@ -46,5 +46,5 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_range_values(values: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The node values of an index as CSV: RangeID,Dimension,Mid,ID."""
-    values.select(F.col("range_id").alias("RangeID"), F.col("dimension").alias("Dimension"), F.col("mid").alias("Mid"), F.col("id").alias("ID")).write.mode(mode).option("header", True).csv(path)
+    """The node values of an index as CSV: RangeID,Dimension,Mid,ID. A dimension beyond 16 bits is an error (ANSI casts check)."""
+    values.select(F.col("range_id").alias("RangeID"), F.col("dimension").cast("short").alias("Dimension"), F.col("mid").alias("Mid"), F.col("id").alias("ID")).write.mode(mode).option("header", True).csv(path)

@@ -26,3 +26,18 @@ def test_cuts_cover_the_text():
         assert b"".join(data[s:e].tobytes() for s, e in parts) == data.tobytes()
         # no word is cut
         assert all(arrays.spaces(data[e - 1 : e + 1]).any() for s, e in parts[:-1])
+
+
+def test_ten_megabytes_in_little_memory():
+    """A text of several pieces, between short ones; memory doesn't follow its length."""
+    import tracemalloc
+
+    long = "alpha Beta  gamma\n" * 600_000
+    data, at = arrays.utf8(pa.array(["one two", long, "three"]))
+    tracemalloc.start()
+    h, counts = arrays.word_hashes(data, at)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    few, _ = arrays.word_hashes(*arrays.utf8(pa.array(["one two alpha beta gamma three"])))
+    assert counts.tolist() == [2, 1_800_000, 1] and (h[:5] == few[:5]).all() and h[-1] == few[-1] and (h[2:-1].reshape(-1, 3) == few[2:5]).all()
+    assert peak < 500e6

@@ -87,12 +87,17 @@ def copies(seed=1, groups=6, size=25):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("options", [{}, {"band_rows": 8, "block_rows": 6}, {"block_bytes": 2000}])
-def test_classes_against_all_pairs(spark, options):
+@pytest.fixture(scope="module")
+def all_pairs():
     rows = copies()
+    return rows, brute(rows)
+
+
+@pytest.mark.parametrize("options", [{}, {"band_rows": 8, "block_rows": 6}, {"block_bytes": 2000}])
+def test_classes_against_all_pairs(spark, all_pairs, options):
+    rows, want = all_pairs
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["class_id"] for r in omh.classes(docs, **options).collect()}
-    assert got == brute(rows)
+    assert {r["doc_id"]: r["class_id"] for r in omh.classes(docs, **options).collect()} == want
 
 
 def test_chains_and_stars(spark):
@@ -217,7 +222,7 @@ def test_candidates_of_split_bands_are_whole(spark):
         rows += [(200 + k, [1], x), (300 + k, [1], y)]
     rows.append((400, [1], rng.integers(0, 1 << 16, omh.ENTRIES)))
     groups = spark.createDataFrame([(i, k, bytearray(s.astype("<u2").tobytes())) for i, k, s in rows], "id long, keys array<long>, sketch binary")
-    for band_rows in (8, 32, 64, 4096):
+    for band_rows in (8, 32):
         got = {r["node"]: r["root"] for r in omh.components(omh.candidates(groups, 14, band_rows)).collect()}
         assert got == {i: 0 for i, _, _ in rows if i not in (0, 400)}, band_rows
 
@@ -260,7 +265,7 @@ def test_large_clusters_meet_by_their_groups(spark):
     rows = list(enumerate(rows))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
-    for options in ({"block_rows": 7}, {"block_rows": 40}, {}):
+    for options in ({"block_rows": 7}, {"block_rows": 40}):
         assert {r["doc_id"]: r["class_id"] for r in omh.classes(docs, least_equal=6, **options).collect()} == want, options
 
 

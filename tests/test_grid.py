@@ -6,6 +6,7 @@ from pyspark.sql.functions import pandas_udf
 from vicinal.functions.vectors import l2
 from vicinal.operators.grid import GridIndex
 from vicinal.sources.generators import lattice
+from vicinal.streaming.live_grid import LiveGrid
 
 CASES = [(3, 1, 1, (0.5, 0.9), 0.6, 2), (10, 4.5, 5, (0.3, 0.3), 0.3, 9), (100, 49.5, 50, (0.3, 0.3), 0.1, 80), (100, 1, 1, (0.3, 0.3), 0.3, 0), (100, 1, 1, (0.3, 0.3), 0.5, 1)]
 
@@ -98,6 +99,17 @@ def test_other_cells_are_not_written_again(spark, monkeypatch):
     assert "grid-records" not in written and less.count == 10_000 and same_cells(less, grid)
 
 
+def test_a_grid_that_follows_a_stream(spark, tmp_path):
+    rows = lattice(spark, 30, 14.5, 15)
+    live = LiveGrid(GridIndex(rows.where("id < 500")))
+    before = live.index
+    for name, part in (("a", "id >= 500 and id < 890"), ("b", "id = 890")):
+        rows.where(part).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        live.follow(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in/*")), str(tmp_path / "at")).awaitTermination()
+    assert before.count == 500 and live.index.count == 891
+    assert same_cells(live.index, GridIndex(rows.where("id < 891")))
+
+
 def test_predicates(spark):
     @pandas_udf("boolean")
     def close(v):

@@ -26,20 +26,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark._vicinal_scratch
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df and reads it back: plans stay short, and what is lost with an executor is read again. The table stays until release, or until the driver ends."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there stays until release, or until the driver ends."""
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if not hasattr(spark, "_vicinal_tables"):
         spark._vicinal_tables = []
         atexit.register(_release_at_exit, spark)
     spark._vicinal_tables.append(path)
+    return path
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Writes df to a scratch path and reads it back: plans stay short, and what is lost with an executor is read again."""
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession, since: int = 0) -> int:
-    """Deletes the tables that materialize has written, but for the first `since` ones, and returns their number. DataFrames that read them end with that: call it when their results have been taken."""
+    """Deletes what scratch paths hold, but for the first `since` ones, and returns their number. DataFrames that read them end with that: call it when their results have been taken."""
     tables = getattr(spark, "_vicinal_tables", [])
     gone = tables[since:]
     for path in gone:

@@ -6,8 +6,6 @@ doc_id label. The query point is the vector of vec_id 0.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from .operators.tree_build import build_index, range_values, split_levels
 from .operators.tree_search import leaf_paths, range_search, range_search_batch, register_search, search, search_batch, search_sql
 from .plans.catalog import VectorCatalog
 from .plans.schemas import as_points
-from .plans.storage import materialize, scratch_dir
+from .plans.storage import materialize, scratch_path
 from .sources.files import read_arff, read_vectors, write_range_values, write_vectors
 from .sources.generators import lattice, one_hot, random_uniform
 
@@ -151,7 +149,7 @@ def box_candidates_sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf_dir: str, by_label: bool = False) -> StoredIndex:
     """An index on disk with tops of about 64 points, since the test tables are small."""
-    return StoredIndex.write(_points(spark, sf_dir, by_label), f"{scratch_dir(spark)}/stored-{uuid.uuid4().hex}", top_points=64)
+    return StoredIndex.write(_points(spark, sf_dir, by_label), scratch_path(spark, "stored"), top_points=64)
 
 
 def box_candidates_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,7 +303,7 @@ def _lines(spark: SparkSession, path: str, header: str) -> DataFrame:
 
 def vector_csv_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of the vector sink, components as thousandths."""
-    path = f"{scratch_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "vectors")
     write_vectors(_points(spark, sf_dir), path)
     parts = _lines(spark, path, "ID|Vector").select(F.split("value", r"\|").alias("p"))
     whole = F.transform(F.split(F.col("p")[1], ","), lambda x: F.round(x.cast("float").cast("double") * 1000).cast("long").cast("string"))
@@ -314,7 +312,7 @@ def vector_csv_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors written and read again are the same."""
-    path = f"{scratch_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "vectors")
     points = _points(spark, sf_dir)
     write_vectors(points, path)
     back = read_vectors(spark, path).select(F.col("id").alias("i"), F.col("vector").alias("v"))
@@ -323,7 +321,7 @@ def vector_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_csv_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the index sink, read from its lines."""
-    path = f"{scratch_dir(spark)}/values-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "values")
     write_range_values(range_values(build_index(_points(spark, sf_dir), "alternate", statistics=True)), path)
     p = F.split("value", ",")
     return _lines(spark, path, "RangeID,Dimension,Mid,ID").select(p[0].cast("long").alias("range_id"), p[1].cast("int").alias("dimension"), F.round(p[2].cast("float").cast("double"), 5).alias("mid"), p[3].cast("long").alias("id"))
@@ -331,7 +329,7 @@ def index_csv_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def arff_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as an ARFF file of two numbers and a class, written and read."""
-    path = f"{scratch_dir(spark)}/arff-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "arff")
     head = spark.range(1).select(F.explode(F.array(*(F.lit(x) for x in ("% nations", "@relation nation", "@attribute key numeric", "@attribute region numeric", "@attribute class string", "", "@DATA")))).alias("value"), F.lit(-1).alias("o"))
     rows = _table(spark, sf_dir, "nation").select(F.concat_ws(",", F.col("n_nationkey").cast("string"), (F.col("n_regionkey") + 0.5).cast("string"), "n_name").alias("value"), F.col("n_nationkey").cast("int").alias("o"))
     head.unionByName(rows).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
@@ -352,7 +350,7 @@ def generated_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _catalog(spark: SparkSession, sf_dir: str, index: bool = True) -> VectorCatalog:
-    catalog = VectorCatalog(spark, f"{scratch_dir(spark)}/catalog-{uuid.uuid4().hex}", buckets=4)
+    catalog = VectorCatalog(spark, scratch_path(spark, "catalog"), buckets=4)
     rows = _table(spark, sf_dir, "embeddings")
     catalog.add_texts(rows.select(F.col("label").cast("long").alias("doc_id"), F.col("vec_id").alias("text_id"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("["), vector_text("embedding"), F.lit("]")).alias("vector")))
     if index:

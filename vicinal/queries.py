@@ -167,7 +167,7 @@ def box_candidates_recursive_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _queries(spark: SparkSession, sf_dir: str, domain: float) -> DataFrame:
     asked = _table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
-    return asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.lit(domain).cast("float").alias("domain"), F.lit(None).cast("long").alias("doc_id"))
+    return asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.lit(float(domain)).alias("domain"), F.lit(None).cast("long").alias("doc_id"))
 
 
 def box_candidates_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
